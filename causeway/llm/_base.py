@@ -53,15 +53,19 @@ def fold(doc_id: str | Column) -> Column:
 def starts(lengths: Column, block: int = 256) -> Column:
     """Running sums before each element of an array of ints, for arrays of any size.
 
-    Two levels keep the copying that growing an array costs within ``n * block``.
-    An empty array gives an empty array.
+    Sums are gathered in blocks, so that growing an array copies a block and not all.  The
+    lambdas refer to nothing outside, so that the array is evaluated once wherever the
+    optimiser moves this.  An empty array gives an empty array, null gives null.
     """
-    zero = F.lit(0).cast("long")
-    grow = lambda first, xs: F.aggregate(xs, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int")), lambda b: F.slice(lengths, b * block + 1, F.lit(block))
-    )
-    sums = F.transform(blocks, lambda xs: F.aggregate(xs, zero, lambda acc, x: acc + x))
-    firsts = grow(zero, sums)
-    within = F.transform(blocks, lambda xs, b: F.slice(grow(F.element_at(firsts, b + 1), xs), F.lit(1), F.size(xs)))
-    return F.when(F.size(lengths) > 0, F.flatten(within)).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+    state = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<array<bigint>>").alias("done"), none.alias("now"))
+
+    def step(s: Column, x: Column) -> Column:
+        full = F.size(s["now"]) >= block
+        return F.struct(
+            (s["total"] + x).alias("total"),
+            F.when(full, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"),
+            F.concat(F.when(full, none).otherwise(s["now"]), F.array(s["total"])).alias("now"),
+        )
+
+    return F.aggregate(lengths, state, step, lambda s: F.flatten(F.concat(s["done"], F.array(s["now"]))))

@@ -29,12 +29,11 @@ def _count(text: str, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
-def _repeats(words: Column, tri: Column) -> Column:
-    """Words in windows of three that are found twice or more, from the windows' hashes and, where these repeat, the windows."""
-    keyed = F.sort_array(
-        F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.struct(F.concat_ws(" ", F.slice(words, i, F.lit(3))).alias("w"), i.alias("i")))
-    )
-    return F.when(F.size(tri) > F.size(F.array_distinct(tri)), keyed)
+def _triples(values: str, join) -> Column:
+    """``join`` of each window of three elements; null for fewer.  No lambda refers to a column, so moving it keeps it linear."""
+    n = F.size(values) - 2
+    first = F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(2), n), join)
+    return F.when(n > 0, F.zip_with(first, F.slice(values, F.lit(3), n), join))
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,20 +48,13 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # A window's hash chains those of its words; equal windows have equal hashes, so a text without equal hashes has no repeat.
     rows = rows.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
     n = F.size("w")
-    tri = F.when(
-        n >= 3,
-        F.zip_with(
-            F.slice("h", F.lit(1), n - 2),
-            F.zip_with(F.slice("h", F.lit(2), n - 2), F.slice("h", F.lit(3), n - 2), lambda b, c: F.xxhash64(b, c)),
-            lambda a, bc: F.xxhash64(a, bc),
-        ),
-    )
-    rows = rows.withColumn("tri", tri)
-    rows = rows.withColumn("s", _repeats(F.col("w"), F.col("tri")))
-    at = lambda i: F.try_element_at("s", i)["w"]
-    twice = F.filter("s", lambda x, k: (x["w"] == F.coalesce(F.when(k > 0, at(k)), F.lit("\n"))) | (x["w"] == F.coalesce(at(k + 2), F.lit("\n"))))
-    rows = rows.withColumn("twice", F.transform(twice, lambda x: x["i"]))
-    inside = F.array_distinct(F.flatten(F.transform("twice", lambda i: F.array(i, i + 1, i + 2))))
+    rows = rows.withColumn("tri", _triples("h", lambda a, b: F.xxhash64(a, b)))
+    windows = F.transform(_triples("w", lambda a, b: F.concat(a, F.lit(" "), b)), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    rows = rows.withColumn("s", F.when(F.size("tri") > F.size(F.array_distinct("tri")), F.sort_array(windows)))
+    # Equal windows stand side by side; of each such pair, both windows' words are inside.
+    span = lambda x: [x["i"], x["i"] + 1, x["i"] + 2]
+    pair = lambda a, b: F.when(a["w"] == b["w"], F.array(*span(a), *span(b))).otherwise(F.array().cast("array<int>"))
+    inside = F.array_distinct(F.flatten(F.zip_with(F.slice("s", F.lit(1), F.size("s") - 1), F.slice("s", F.lit(2), F.size("s") - 1), pair)))
     rows = rows.select(
         "doc_id",
         n.cast("long").alias("n_words"),

@@ -70,21 +70,23 @@ def peak_entropy(s: Column, symbols: str, window: int = WINDOW) -> Column:
     Symbols outside ``symbols`` share one count.
     """
     term = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    code = lambda i: F.instr(F.lit(symbols), F.substring(s, i, F.lit(1)))
-    zero = F.struct(F.array_repeat(F.lit(0), len(symbols) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
-
-    def step(state: Column, i: Column) -> Column:
-        into, out = code(i), F.when(i > window, code(i - window)).otherwise(F.lit(-1))
-        counts, same = state["counts"], into == out
+    zero = F.struct(F.array_repeat(F.lit(0), len(symbols) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"), F.lit(1).alias("i"))
+    chars = F.slice(F.split(s, ""), F.lit(1), F.length(s))
+    leaving = F.slice(F.concat(F.array_repeat(F.lit(""), window), chars), F.lit(1), F.length(s))
+    code = lambda c: F.instr(F.lit(symbols), c)
+    moves = F.zip_with(chars, leaving, lambda a, b: F.struct(code(a).alias("into"), F.when(b != "", code(b)).otherwise(F.lit(-1)).alias("out")))
+
+    def step(state: Column, move: Column) -> Column:
+        counts, into, out = state["counts"], move["into"], move["out"]
+        same = into == out
         c_in, c_out = F.element_at(counts, into + 1), F.when(out >= 0, F.element_at(counts, out + 1)).otherwise(F.lit(0))
-        gained = term(c_in + 1) - term(c_in)
         lost = F.when(out >= 0, term(c_out) - term(c_out - 1)).otherwise(F.lit(0.0))
-        total = F.when(same, state["sum"]).otherwise(state["sum"] + gained - lost)
+        total = F.when(same, state["sum"]).otherwise(state["sum"] + term(c_in + 1) - term(c_in) - lost)
         moved = F.when(same, counts).otherwise(F.transform(counts, lambda c, k: c + (k == into).cast("int") - (k == out).cast("int")))
-        entropy = F.when(i >= window, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(-1.0))
-        return F.struct(moved.alias("counts"), total.alias("sum"), F.greatest(state["best"], entropy).alias("best"))
+        entropy = F.when(state["i"] >= window, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(-1.0))
+        return F.struct(moved.alias("counts"), total.alias("sum"), F.greatest(state["best"], entropy).alias("best"), (state["i"] + 1).alias("i"))
 
-    return F.when(F.length(s) >= window, F.aggregate(F.sequence(F.lit(1), F.length(s)), zero, step, lambda st: F.round(st["best"], 9))).otherwise(F.lit(-1.0))
+    return F.when(F.length(s) >= window, F.aggregate(moves, zero, step, lambda st: F.round(st["best"], 9))).otherwise(F.lit(-1.0))
 
 
 def _tells(s: Column) -> Column:
