@@ -90,7 +90,7 @@ def links(nodes: DataFrame) -> DataFrame:
         variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variants"
     )
     pairs = shared.where("n = 2").where(_close("a", "b")).select("a", "b")
-    members = materialize(variants.join(shared.where("n > 2").select("key", "n"), "key"), "members")
+    members = materialize(variants.join(shared.where("n > 2").select("key", "n").hint("merge"), "key"), "members")
     few = members.where(F.col("n") <= MAX_BUCKET)
     some = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b")
     some = some.where(_close("a", "b")).select("a", "b")
