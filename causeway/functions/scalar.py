@@ -1,0 +1,85 @@
+"""Column expressions: entities, tabular features, logits, shrinkage, contrasts, strata."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+MISSING = "__MISSING__"
+RULES = {"count": lambda n: n, "sqrt": F.sqrt, "log1p": F.log1p}
+
+
+def node(df: DataFrame, column: str) -> Column:
+    """``column=value`` as a node's id; null, NaN or blank give null; whole floats print as integers."""
+    c = F.col(f"`{column}`")
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
+        text = F.when(c.isNull() | F.isnan(c), None).when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+    else:
+        text = F.nullif(F.trim(c.cast("string")), F.lit(""))
+    return F.concat(F.lit(f"{column}="), text)
+
+
+def finite(c: Column) -> Column:
+    """NaN and infinities as null, so that aggregates skip them."""
+    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+
+def log_amount(c: Column) -> Column:
+    return F.log1p(F.greatest(c, F.lit(0.0)))
+
+
+def safe_logit(p: Column, eps: float = 1e-6) -> Column:
+    q = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
+    return F.log(q / (1 - q))
+
+
+def expit(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def tabular_features(df: DataFrame, time: str, amount: str, categories: list[str] = (), flags: list[str] = (), present: list[str] = ()) -> DataFrame:
+    """Amount, its log, the hour and its circle, the day, filled categories, missing flags, and whether any of ``present`` is there."""
+    amt = F.col(amount).try_cast("double")
+    seconds = F.coalesce(F.col(time).try_cast("double"), F.lit(0.0))
+    hour = F.pmod(seconds / 3600, F.lit(24.0))
+    out = df.select(
+        *[c for c in df.columns if c not in (*categories, "hour", "hour_sin", "hour_cos", "relative_day")],
+        log_amount(amt).alias(f"log_{amount}"),
+        hour.alias("hour"),
+        F.sin(hour * (6.283185307179586 / 24)).alias("hour_sin"),
+        F.cos(hour * (6.283185307179586 / 24)).alias("hour_cos"),
+        F.floor(seconds / 86400).cast("double").alias("relative_day"),
+        *[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in categories],
+        *[F.col(c).isNull().cast("int").alias(f"{c}_missing") for c in flags],
+        *([F.greatest(*[F.col(c).isNotNull().cast("int") for c in present], F.lit(0)).alias("identity_present")] if present else []),
+    )
+    return out
+
+
+def shrinkage(h: Column, s: Column, n: Column, rule: str = "count") -> Column:
+    """``H + gamma (S - H)``, gamma 1/(1+n) or 1/sqrt(1+n) by released count."""
+    n = F.greatest(n, F.lit(0.0))
+    gamma = 1 / (1 + n) if rule == "count" else 1 / F.sqrt(1 + n)
+    return h + gamma * (s - h)
+
+
+def precision_screen(h: Column, s: Column, n: Column, rule: str, alpha: float) -> Column:
+    """``H + (S - H) / precision`` with precision ``alpha + n``, ``alpha + sqrt(n)`` or ``alpha + log1p(n)``."""
+    return h + (s - h) / (F.lit(float(alpha)) + RULES[rule](F.greatest(n, F.lit(0.0))))
+
+
+def exposure_total(logs: list[Column]) -> Column:
+    """The sum of counts whose ``log1p`` the columns hold; nulls count nothing."""
+    out = F.lit(0.0)
+    for c in logs:
+        out = out + F.coalesce(F.expm1(c), F.lit(0.0))
+    return out
+
+
+def strata(n: Column, known: Column, new_edge: Column) -> Column:
+    """The names of the overlapping strata a row is in, for ``explode``."""
+    cases = {"cold": n <= 0, "low": (n > 0) & (n <= 5), "medium": (n > 5) & (n <= 20), "high": n > 20, "known": known, "newedge": new_edge}
+    return F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in cases.items()]))
