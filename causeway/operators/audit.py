@@ -53,7 +53,8 @@ def permute_labels(df: DataFrame, spec: TransactionSpec, seed: int, out: str = "
 def looks_ahead(df: DataFrame) -> list[str]:
     """Window frames of a plan that reach the current time or later; a causal feature plan has none ordered by range."""
     plan = df._jdf.queryExecution().analyzed().toString()
-    return [m for m in re.findall(r"RangeFrame, [^)]*\)", plan) if not re.search(r"unboundedpreceding\$\(\), -\d", m)]
+    frames = re.findall(r"RangeFrame, [^,]+, (?:-?\d+|cast\(-?\d+ as \w+\)|\w+\$\(\))", plan)
+    return [f for f in frames if not re.search(r", (?:cast\()?-[1-9]", f)]
 
 
 def selection_leaks(report: str, marker: str = "test_used_for_selection") -> list[str]:

@@ -31,7 +31,11 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     p, fs = _fs(spark, path)
     if not fs.exists(p):
         return None
-    return "\n".join(r["value"] for r in spark.read.text(path).collect())
+    stream = fs.open(p)  # not by Spark's readers, which skip names with an underscore
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def write_features(df: DataFrame, path: str, partition_by: str | None = None, narrow: bool = True, **meta: object) -> None:
