@@ -40,12 +40,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sep
     at the same id and offset all stay.  No texts, no rows.
     """
     found = materialize(units(docs, id_col, text_col, separator, min_words), "units")
-    least = found.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1")
-    first = materialize(least.select("digest", "first_doc_id"), "first")
-    twice = found.join(first, "digest")
-    at = F.when(F.col("doc_id").eqNullSafe(F.col("first_doc_id")), F.col("start"))
-    kept = materialize(twice.groupBy("digest").agg(F.first("first_doc_id").alias("first_doc_id"), F.min(at).alias("first_start")), "kept")
-    out = found.join(kept, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("start") == F.col("first_start"))))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("first_doc_id"), F.col("start").alias("first_start"))
+    kept = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("k")).where("n > 1")
+    kept = materialize(kept.select("digest", "k.first_doc_id", "k.first_start"), "kept")
+    out = found.join(kept.hint("merge"), "digest").where(~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("start") == F.col("first_start"))))
     return out.select("doc_id", "start", "end", "first_doc_id", "first_start")
 
 
