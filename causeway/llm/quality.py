@@ -158,9 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("__quality"))
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(MAX_LABELLED)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id"), "left_semi")
-    found = statistics(rows).join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).where("n_words > 0")
-    got = found.select("__quality", *STATISTICS).orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).collect()
-    return learn(np.array([r[1:] for r in got], float).reshape(len(got), len(STATISTICS)), np.array([r[0] == 0 for r in got], bool))
+    found = statistics(rows).join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
+    got = found.select("__quality", *STATISTICS, "n_words", F.xxhash64("doc_id").alias("h"), "doc_id").collect()  # as many rows as the sample has documents
+    got = sorted((tuple(r) for r in got if r["n_words"] > 0), key=lambda r: (r[-2], r[-1], r))
+    return learn(np.array([r[1:-3] for r in got], float).reshape(len(got), len(STATISTICS)), np.array([r[0] == 0 for r in got], bool))
 
 
 def verdict(rules: list[Rule]) -> Column:
