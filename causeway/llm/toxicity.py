@@ -27,8 +27,9 @@ from ._base import fold, materialize
 
 #: Bounds of the two training samples, in rows, taken by the least hash of the id.
 MAX_POSITIVE, MAX_UNLABELLED = 4096, 8192
-#: Features kept, ranked by how much more of P than of U they are in.
-MAX_FEATURES = 4096
+#: Features kept, ranked by how much more of P than of U they are in, in standard errors, and the least of that.
+#: Features of U alone are left out: thousands of small negative weights would hide one toxic phrase in a long text.
+MAX_FEATURES, MIN_LIFT = 4096, 4.0
 PREFIXES = (4, 5, 6)
 _AROUND = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 _REMEMBERED = 1 << 18
@@ -125,8 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(-30.0, {}, prior, n_p, n_u)
     by = sample.select("p", F.explode("f").alias("f")).groupBy("f").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b"))
     rate_p, rate_u = F.col("a") / n_p, F.col("b") / n_u
-    lift = F.abs(rate_p - rate_u) / F.sqrt((F.col("a") + F.col("b") + 1) / (n_p + n_u) * (1 / n_p + 1 / n_u))
-    chosen = [r["f"] for r in by.where("a + b >= 5").orderBy(lift.desc(), "f").limit(MAX_FEATURES).select("f").collect()]
+    lift = (rate_p - rate_u) / F.sqrt((F.col("a") + F.col("b") + 1) / (n_p + n_u) * (1 / n_p + 1 / n_u))
+    chosen = [r["f"] for r in by.where("a + b >= 5").where(lift >= MIN_LIFT).orderBy(lift.desc(), "f").limit(MAX_FEATURES).select("f").collect()]
     index = {f: i for i, f in enumerate(chosen)}
     kept = F.array_intersect("f", F.array(*map(F.lit, chosen))) if chosen else F.array().cast("array<bigint>")
     rows = sample.select("id", "p", kept.alias("f")).orderBy("p", "id").collect()
