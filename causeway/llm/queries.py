@@ -72,7 +72,7 @@ QUERIES = {f.__name__: f for f in (op1_simhash, op2_byte_bpe, op3_substring_dedu
 _SPACE = r"[\x20\x09-\x0D]+"
 
 _OP3 = f"""
-WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS u FROM documents WHERE text IS NOT NULL),
+WITH cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\x20', '\\1' || chr(10), 'g'), chr(10)) AS u FROM documents WHERE text IS NOT NULL),
 line AS (SELECT doc_id, unnest(range(1, len(u) + 1)) AS i, unnest(u) AS unit FROM cut),
 placed AS (
   SELECT doc_id, unit, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "start"

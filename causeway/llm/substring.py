@@ -1,9 +1,11 @@
-"""Substring dedup by hashing lines or paragraphs.
+"""Substring dedup by hashing lines, cut at sentence ends.
 
-A text is cut into units at ``separator``.  A unit is normalised (lower case, runs of white
-space as one space, trimmed), and units of ``MIN_WORDS`` words or more are grouped by digest
-over all texts.  The earliest ranked occurrence (least id, then least offset) is kept, the
-rest are removed; what is left of a text keeps its offsets in the original.
+A text is cut into units at line ends and, unless ``sentences`` is off, at a space after a full
+stop, question or exclamation mark: a passage that is pasted into the middle of a line shares no
+whole line with its source.  A unit is normalised (lower case, runs of white space as one
+space, trimmed), and units of ``MIN_WORDS`` words or more are grouped by digest over all
+texts.  The earliest ranked occurrence (least id, then least offset) is kept, the rest are
+removed; what is left of a text keeps its offsets in the original.
 """
 
 from __future__ import annotations
@@ -13,15 +15,15 @@ from pyspark.sql import functions as F
 
 from ._base import materialize, starts
 
-MIN_WORDS = 10
+MIN_WORDS = 6
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, start, end, digest)`` of the units that count, offsets in code points of the original text."""
-    sep = len(separator)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.split(F.col(text_col), f"\\Q{separator}\\E").alias("u"))
+    text = F.regexp_replace(F.col(text_col), "([.!?])\\x20", "$1\n") if sentences else F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.split(text, "\n").alias("u"))
     rows = rows.where(F.exists("u", lambda u: F.length(u) >= 2 * min_words - 1))
-    rows = rows.withColumn("n", F.transform("u", lambda u: F.length(u).cast("long") + sep))
+    rows = rows.withColumn("n", F.transform("u", lambda u: F.length(u).cast("long") + 1))
     rows = rows.select("doc_id", F.explode(F.arrays_zip(starts(F.col("n")).alias("start"), F.col("u").alias("u"))).alias("x"))
     rows = rows.select("doc_id", F.col("x.start").alias("start"), F.col("x.u").alias("u")).where(F.length("u") >= 2 * min_words - 1)
     plain = F.trim(F.regexp_replace(F.lower("u"), r"[\x20\x09-\x0D]+", " "))
@@ -30,7 +32,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separ
     return rows.where(spaces >= min_words - 1).select("doc_id", "start", "end", F.unhex(F.md5("plain")).alias("digest"))
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, start, end, first_doc_id, first_start)``: every unit that goes and the one kept for it.
 
     Minima are combined before the shuffle, so a unit that a third of all texts share costs a
@@ -39,7 +41,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sep
     all others.  Of rows that repeat id and text the first occurrence is one occurrence: rows
     at the same id and offset all stay.  No texts, no rows.
     """
-    found = materialize(units(docs, id_col, text_col, separator, min_words), "units")
+    found = materialize(units(docs, id_col, text_col, sentences, min_words), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("first_doc_id"), F.col("start").alias("first_start"))
     kept = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(rank).alias("k")).where("n > 1")
     kept = materialize(kept.select("digest", "k.first_doc_id", "k.first_start"), "kept")
@@ -47,18 +49,18 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sep
     return out.select("doc_id", "start", "end", "first_doc_id", "first_start")
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with removed units cut out of the text and ``kept_spans``, the original ``(start, end)`` of each part that is left.
 
-    Units go with the separator after them.  Rows that repeat an id share its removals where
+    Units go with the line end or space after them.  Rows that repeat an id share its removals where
     the offsets fall within the text.
     """
-    gone = removed(docs, id_col, text_col, separator, min_words).groupBy(F.col("doc_id").alias("__id"))
+    gone = removed(docs, id_col, text_col, sentences, min_words).groupBy(F.col("doc_id").alias("__id"))
     gone = materialize(gone.agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__gone")), "gone")
     rows = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
-    size, sep = F.length(F.col(text_col)), len(separator)
+    size = F.length(F.col(text_col))
     g = F.coalesce("__gone", F.array().cast("array<struct<start:bigint,end:bigint>>"))
-    begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(g, lambda x: x["end"] + sep))
+    begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(g, lambda x: x["end"] + 1))
     ends = F.concat(F.transform(g, lambda x: x["start"]), F.array(size.cast("bigint")))
     spans = F.filter(F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end"))), lambda s: s["start"] < s["end"])
     rows = rows.withColumn("kept_spans", F.when(F.col(text_col).isNotNull(), spans)).drop("__gone")

@@ -8,7 +8,7 @@ def brute_units(rows, least=substring.MIN_WORDS):
     out = []
     for doc_id, text in rows:
         at = 0
-        for unit in (text or "").split("\n") if text is not None else []:
+        for unit in re.split(r"(?<=[.!?])\x20|\n", text) if text is not None else []:
             plain = " ".join(x for x in re.split(r"[\x20\x09-\x0D]+", unit.lower()) if x)
             if len(plain.split(" ")) >= least:
                 out.append((doc_id, at, at + len(unit), plain))
@@ -43,7 +43,7 @@ def test_odd_rows(odd, empty):
 def test_ties_nulls_and_offsets(spark):
     rng = random.Random(1)
     lines = [" ".join(rng.choice("abcdefg") * 3 for _ in range(rng.randrange(5, 14))) for _ in range(12)]
-    rows = [(rng.choice([None, *range(20)]), "\n".join(rng.choice([rng.choice(lines), rng.choice(lines).upper() + "\t ", "", "é short"]) for _ in range(rng.randrange(0, 6)))) for _ in range(120)]
+    rows = [(rng.choice([None, *range(20)]), "\n".join(rng.choice([rng.choice(lines), rng.choice(lines).upper() + "\t ", "", "é short. ", "A. B! c? d.  e. f", "One two. " + rng.choice(lines) + ". Last one."]) for _ in range(rng.randrange(0, 6)))) for _ in range(120)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     check(frame)
 
