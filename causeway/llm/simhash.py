@@ -132,6 +132,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = near_duplicates(docs, id_col, text_col).groupBy("doc_id")
     found = materialize(found.agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("keep"), F.count("*").alias("n")), "kept")
     gone = found.where("not keep").select(F.col("doc_id").alias("__gone_id"))
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone_id"), "left_anti")
+    kept = docs.join(gone.hint("merge"), F.col(id_col) == F.col("__gone_id"), "left_anti")
     repeated = found.where("doc_id is not null and n > 1").limit(1).count()
     return kept.dropDuplicates([id_col, text_col]) if repeated else kept
