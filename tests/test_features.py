@@ -101,6 +101,16 @@ def test_windows_are_independent(spark):
     assert [got[k] for k in range(1, 9)] == [0, 1, 2, 3, 0, 1, 2, 3]
 
 
+def test_split_nodes_have_the_same_history(spark):
+    rows = [(i, (i * i) % 97 * 5000, None if i % 13 == 0 else i % 2, f"c{i % 3 if i % 4 else 0}", f"a{i % 5}", 1.0) for i in range(1, 200)]
+    e = edges.edges(frame(spark, rows), SPEC)
+    ends = edges.endpoints(e, SPEC)
+    whole, split = (history.history(e, ends, SPEC, [0, DAY // 2, 3 * DAY], DAY, split=x) for x in (False, True))
+    cols = sorted(whole.columns)
+    assert sorted(split.columns) == cols
+    assert sorted(map(str, whole.select(*cols).collect())) == sorted(map(str, split.select(*cols).collect()))
+
+
 def test_row_order_and_split(spark):
     df = spark.createDataFrame([(i, (i * 7919) % 13 * DAY // 2) for i in range(100)], "id long, t long")
     got = sorted((r["t"], r["id"], r["row_ord"]) for r in tables.with_row_order(df, "t", ["id"]).collect())
