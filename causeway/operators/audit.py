@@ -17,7 +17,7 @@ def ties(df: DataFrame, ends: DataFrame, spec: TransactionSpec) -> DataFrame:
     sums = by.agg(F.count("*").alias("times"), F.sum((F.col("n") > 1).cast("long")).alias("tied_times"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("tied_rows"))
     first = F.row_number().over(Window.partitionBy(*spec.keys(spec.time, "layer", "node")).orderBy(spec.order))
     shared = ends.withColumn("__k", first).where("__k > 1").agg(F.countDistinct(*spec.keys(spec.order)).alias("shared_rows"))
-    return sums.crossJoin(F.broadcast(shared))  # rows of one number each
+    return sums.withColumn("__one", F.lit(1)).join(shared.withColumn("__one", F.lit(1)), "__one").drop("__one")  # a row each
 
 
 def release(ends: DataFrame, features: DataFrame, spec: TransactionSpec, delay: int, column: str = "exposure_log", tolerance: float = 1e-4) -> DataFrame:

@@ -73,9 +73,11 @@ def evaluate(df: DataFrame, keys: list[str], **names: str) -> DataFrame:
     cols = [F.max(F.when(F.col("budget") == b, F.col(c))).alias(f"{c}_at_{b}") for b in BUDGETS for c in ("precision", "recall")]
     wide = at.groupBy(*keys).agg(*cols)
     out = ranking(df, keys, **base)
+    one = ["__one"]  # without keys each part is a row
+    out = out.withColumn("__one", F.lit(1))
     for more in (brier(df, keys, **base), ece(df, keys, **names), wide):
-        out = out.join(more, keys) if keys else out.crossJoin(more)  # rows of one number each
-    return out
+        out = out.join(more.withColumn("__one", F.lit(1)), [*keys, *one])
+    return out.drop("__one")
 
 
 def top_tail(df: DataFrame, keys: list[str], budgets: list[float] = BUDGETS, y: str = "y", score: str = "score", order: str = "order") -> DataFrame:

@@ -107,10 +107,10 @@ def bipartite(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     """Orders as an address graph: ``(tx, step, cls)`` and the distinct ``(tx, address)`` of inputs and outputs."""
     od = read(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate", "o_orderstatus"])
     months = F.year("o_orderdate") * 12 + F.month("o_orderdate")
-    first = od.agg(F.min(months).alias("m0"))
-    tx = od.crossJoin(F.broadcast(first)).select(  # a row of one number
+    first = od.agg(F.min(months)).first()[0]
+    tx = od.select(
         F.col("o_orderkey").alias("tx"),
-        (months - F.col("m0") + 1).cast("int").alias("step"),
+        (months - F.lit(first) + 1).cast("int").alias("step"),
         F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3).alias("cls"),
     )
     li = read(spark, sf_dir, "lineitem", ["l_orderkey", "l_suppkey", "l_partkey"])
