@@ -14,6 +14,8 @@ bucket in which it ends is ordered by document.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,13 +74,15 @@ def budgets(rows: DataFrame, weights: dict[str, dict[str, float]], share: float,
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n_tokens")).where("n_tokens > 0")
     w = {x: _weight(x, weights) for x in LEVELS}
     leaves = leaves.withColumn("capacity", F.when(F.least(*w.values()) > 0, F.col("n_tokens") * epochs).otherwise(F.lit(0)))
-    leaves = materialize(leaves.withColumn("all", F.sum("n_tokens").over(Window.partitionBy(F.lit(0)))), "leaves")
-    given = leaves.groupBy().agg(F.least(F.floor(F.max("all") * F.lit(share)), F.sum("capacity")).cast("double").alias("given"))
+    leaves = materialize(leaves, "leaves")
+    sums = leaves.agg(F.sum("n_tokens").alias("all"), F.sum("capacity").alias("capacity")).first()
+    root = float(min(math.floor((sums["all"] or 0) * share), sums["capacity"] or 0))
+    given = None
     parent: list[str] = []
     for level in LEVELS:
         keys = [*parent, level]
         children = leaves.groupBy(*keys).agg(F.sum("capacity").alias("capacity")).where("capacity > 0").withColumn("weight", w[level])
-        children = children.join(given, parent) if parent else children.crossJoin(F.broadcast(given))  # a row of one number
+        children = children.withColumn("given", F.lit(root)) if given is None else children.join(given, parent)
         given = deal(children, parent, level).select(*keys, F.col("budget").alias("given"))
         parent = keys
     found = leaves.join(given, list(LEVELS), "left").select(*LEVELS, "n_tokens", F.floor(F.coalesce("given", F.lit(0.0))).cast("long").alias("budget"))
