@@ -44,6 +44,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows that go to a Python worker at once; texts may be long, and Spark's own default is ten times as many.
+BATCH_ROWS = 1024
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's Arrow batch to ``BATCH_ROWS`` where it is larger."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def fold(doc_id: str | Column) -> Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out of every fit."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

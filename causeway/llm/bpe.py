@@ -26,10 +26,12 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._base import bounded_batches
+
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
 #: Pre-tokens whose ids are remembered by a worker; when full, the memory starts anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, n_chunks int"
 
@@ -130,7 +132,7 @@ def _short(path: str, pattern: str, want: str):
 def _apply(docs: DataFrame, text_col: str, path: str, pattern: str, want: str) -> DataFrame:
     """``docs`` with ``__bpe``; long texts by chunks, joined with the rest."""
     long = F.length(F.coalesce(F.col(text_col), F.lit(""))) > CHUNK + OVERLAP
-    short = docs.where(~long).withColumn("__bpe", _short(path, pattern, want)(F.col(text_col)))
+    short = bounded_batches(docs).where(~long).withColumn("__bpe", _short(path, pattern, want)(F.col(text_col)))
     row = docs.where(long).withColumn("__row", F.monotonically_increasing_id())
     ks = F.sequence(F.lit(0), F.ceil((F.length(text_col) - OVERLAP) / CHUNK).cast("int") - 1)
     rest = row.select(

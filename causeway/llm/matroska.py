@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._base import bounded_batches
+
 FRAME = 576
 FRAMES_A_BLOCK = 6
 BLOCKS_A_CLUSTER = 8
@@ -275,7 +277,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
         return pd.DataFrame(rows, columns=[k.split()[0] for k in _KINDS.split(", ")])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(run, _KINDS)(F.col(text_col)).alias("m")).select("doc_id", "m.*")
+    return bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.pandas_udf(run, _KINDS)(F.col(text_col)).alias("m")).select("doc_id", "m.*")
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,7 +286,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([pack(padded(t)[0]) for t in texts])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(run, "binary")(F.col(text_col)).alias("media"))
+    return bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.pandas_udf(run, "binary")(F.col(text_col)).alias("media"))
 
 
 def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -302,5 +304,5 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
             out.append([(p.track, p.time_ns, p.start, p.size, p.lacing, p.cluster, p.time_ns in at) for p in table])
         return pd.Series(out)
 
-    rows = media.select(F.col(id_col).alias("doc_id"), F.explode(F.pandas_udf(run, f"array<struct<{', '.join(f'{k}:{v}' for k, v in map(str.split, one.split(', ')))}>>")(F.col(media_col))).alias("p"))
+    rows = bounded_batches(media).select(F.col(id_col).alias("doc_id"), F.explode(F.pandas_udf(run, f"array<struct<{', '.join(f'{k}:{v}' for k, v in map(str.split, one.split(', ')))}>>")(F.col(media_col))).alias("p"))
     return rows.select("doc_id", "p.*")

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._base import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
@@ -152,7 +154,7 @@ def patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return pd.Series(out)
 
     found = F.pandas_udf(run, "array<struct<kind:int, votes:string, shape:int>>")(F.col(text_col))
-    rows = docs.select(F.explode(found).alias("c")).groupBy("c.kind", "c.votes", "c.shape").agg(F.count("*").alias("n"))
+    rows = bounded_batches(docs).select(F.explode(found).alias("c")).groupBy("c.kind", "c.votes", "c.shape").agg(F.count("*").alias("n"))
     return rows.select("kind", "votes", "shape", "n")
 
 
@@ -243,7 +245,7 @@ def detect(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             rows.append((*(sum(s[0] == k for s in base) for k in range(len(KINDS))), hashlib.sha256(_written(base).encode()).hexdigest(), _written(base + more)))
         return pd.DataFrame(rows, columns=[k.split()[0] for k in kinds.split(", ")])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(run, kinds)(F.col(text_col)).alias("p")).select("doc_id", "p.*")
+    return bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.pandas_udf(run, kinds)(F.col(text_col)).alias("p")).select("doc_id", "p.*")
 
 
 def redacted(text: str | None, model: Model) -> str | None:
@@ -265,4 +267,4 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([redacted(t, model) for t in texts], dtype=object)
 
-    return docs.withColumn(text_col, F.pandas_udf(run, T.StringType())(F.col(text_col)))
+    return bounded_batches(docs).withColumn(text_col, F.pandas_udf(run, T.StringType())(F.col(text_col)))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import materialize
+from ._base import bounded_batches, materialize
 from .components import connected_components
 
 SHINGLE = 3
@@ -63,7 +63,7 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp)``, a row for each row of ``docs``, repeated rows included."""
-    return docs.select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp"))
+    return bounded_batches(docs).select(F.col(id_col).alias("doc_id"), _fingerprints(F.col(text_col)).alias("fp"))
 
 
 def _variants(nodes: DataFrame) -> DataFrame:

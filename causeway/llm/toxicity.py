@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import fold, materialize
+from ._base import bounded_batches, fold, materialize
 
 #: Bounds of the two training samples, in rows, taken by the least hash of the id.
 MAX_POSITIVE, MAX_UNLABELLED = 4096, 8192
@@ -32,7 +32,7 @@ MAX_POSITIVE, MAX_UNLABELLED = 4096, 8192
 MAX_FEATURES, MIN_LIFT = 4096, 4.0
 PREFIXES = (4, 5, 6)
 _AROUND = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
-_REMEMBERED = 1 << 18
+_REMEMBERED = 1 << 17
 
 
 def features(word: str) -> list[int]:
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pos = known.where("toxic = 1").select(F.col(id_col).alias("id")).distinct().orderBy(*ranked).limit(MAX_POSITIVE).withColumn("p", F.lit(1))
     ids = docs.where(F.col(id_col).isNotNull() & (fold(id_col) != 0)).select(F.col(id_col).alias("id")).distinct()
     un = ids.orderBy(*ranked).limit(MAX_UNLABELLED).withColumn("p", F.lit(0))
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    texts = bounded_batches(docs).where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     sample = materialize(texts.join(F.broadcast(pos.union(un)), "id").select("id", "p", _features("t").alias("f")), "features")
     size = {r["p"]: r["n"] for r in sample.groupBy("p").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = size.get(1, 0), size.get(0, 0)
@@ -140,10 +140,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     A null text is as an empty one and scores the bias alone.  A null id is not held out.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), model.column(text_col).alias("score"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), model.column(text_col).alias("score"))
     return rows.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text is predicted toxic; columns as given."""
-    return docs.withColumn("__toxic", model.column(text_col)).where("__toxic < 0.5").drop("__toxic")
+    return bounded_batches(docs).withColumn("__toxic", model.column(text_col)).where("__toxic < 0.5").drop("__toxic")
