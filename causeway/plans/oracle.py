@@ -46,7 +46,8 @@ def _history(days: int, alpha: int) -> str:
 {r('ln(1 + CAST(f AS DOUBLE))', 'fraud_log')}, {r('ln(1 + CAST(n AS DOUBLE))', 'exposure_log')}, CAST(n = 0 AS INTEGER) AS missing FROM h"""
 
 
-_TEMPORAL = _ends(LINES.layers()) + f""",
+def _temporal(layers) -> str:
+    return _ends(layers) + f""",
 s0 AS (SELECT *, CAST(row_number() OVER (PARTITION BY layer, node, other ORDER BY row_ord) = 1 AS INTEGER) AS fresh, ln(1 + greatest(amount, 0)) AS la FROM ends),
 s AS (SELECT row_ord, t, layer, side, count(*) {_frame('layer, node', 1)} AS n, max(t) {_frame('layer, node', 1)} AS last_t, coalesce(sum(fresh) {_frame('layer, node', 1)}, 0) AS deg,
    avg(la) {_frame('layer, node', 1)} AS am, count(*) {_frame('layer, node', DAY + 1)} AS n1, count(*) {_frame('layer, node', 7 * DAY + 1)} AS n7 FROM s0),
@@ -57,6 +58,9 @@ v AS (SELECT l.row_ord, l.t, l.layer, l.n AS count_a, r.n AS count_b, count_ab,
    CASE WHEN l.n = 0 AND r.n = 0 THEN 'C11' WHEN l.n = 0 OR r.n = 0 THEN 'C10' WHEN count_ab > 0 THEN 'C00_oldedge' ELSE 'C00_newedge' END AS cohort
    FROM s l JOIN s r ON l.row_ord = r.row_ord AND l.layer = r.layer AND l.side = 'left' AND r.side = 'right' JOIN p ON p.row_ord = l.row_ord AND p.layer = l.layer)"""
 
+
+_TEMPORAL = _temporal(LINES.layers())
+
 _FLAGS = ", ".join(
     f"CAST({how}(CAST({test} AS INTEGER)) AS INTEGER) AS {name}"
     for how, test, name in (
@@ -145,6 +149,9 @@ o AS (SELECT coalesce(cn, 0) AS common_neighbors, coalesce(aa, 0) AS aa, coalesc
 SELECT common_neighbors, count(*) AS n, {r('sum(CASE WHEN u > 0 THEN CAST(common_neighbors AS DOUBLE) / u ELSE 0 END)', 'jaccard')}, {r('sum(aa)', 'adamic_adar')} FROM o GROUP BY common_neighbors""",
     "green_r0": f"""WITH {_ZERO} SELECT row_ord, layer, {r('same', 'G_aa')}, {r('x', 'G_ab')}, {r('res', 'R_ab')}, {r('sa', 'S_left')}, {r('sb', 'S_right')}, {r('-((sa - sb) / (1 + res) * (same - x))', 'TR_left')}, {r('(sa - sb) / (1 + res) * (same - x)', 'TR_right')},
 {r('((db + w) * da * a + w * db * b) / det2', 'SD_left')}, {r('((da + w) * db * b + w * da * a) / det2', 'SD_right')} FROM z""",
+    "edge_amount_statistics": f"""WITH {_temporal(LINES.risk)}, q AS (SELECT v.*, ln(1 + greatest(amount, 0)) AS la, (CAST(0.1 AS DOUBLE) + count_ab) / (CAST(0.1 AS DOUBLE) * (CAST(0.1 AS DOUBLE) + 2 * count_ab)) AS g, 2 / (CAST(0.1 AS DOUBLE) + 2 * count_ab) AS res
+FROM v JOIN tx USING (row_ord)), z AS (SELECT *, (la - amount_mean_a) / sqrt(g + 1e-12) AS ta, (la - amount_mean_b) / sqrt(g + 1e-12) AS tb, (amount_mean_a - amount_mean_b) / sqrt(res + 1e-12) AS te FROM q)
+SELECT row_ord, layer, {r('te', 't_edge_amount')}, {r('ta', 't_endpoint_a_amount')}, {r('tb', 't_endpoint_b_amount')}, {r('greatest(abs(ta), abs(tb))', 't_endpoint_max_abs')}, {r('coalesce(ta * ta, 0) + coalesce(tb * tb, 0)', 't_endpoint_sum_sq')} FROM z""",
     "shrinkage": f"WITH {_ZERO} SELECT row_ord, layer, " + ", ".join(
         x for s, h, f, n in (("left", "a", "sa", "na"), ("right", "b", "sb", "nb"))
         for x in (r(f"{h} + ({f} - {h}) / (1 + {n})", f"SG_count_{s}"), r(f"{h} + ({f} - {h}) / sqrt(1 + {n})", f"SG_sqrt_{s}"), r(f"{h} + ({f} - {h}) / (5 + ln(1 + CAST({n} AS DOUBLE)))", f"PS_log1p_{s}"), r(f"{h} + ({f} - {h}) / (20 + sqrt({n}))", f"PS_sqrt_{s}"))

@@ -130,6 +130,14 @@ def green_r0(spark, d):
     return g.select("row_ord", "layer", *[r6(c) for c in ("G_aa", "G_ab", "R_ab", "S_left", "S_right", "TR_left", "TR_right", "SD_left", "SD_right")])
 
 
+def edge_amount_statistics(spark, d):
+    g = _radius_zero(spark, d)
+    e = _edges(spark, d, list(LINES.risk))
+    g = g.join(e.select("row_ord", "layer", scalar.log_amount(F.col("amount")).alias("log_amount")), ["row_ord", "layer"])
+    s = temporal.edge_statistics(temporal.features(e, LINES), g.select("row_ord", "layer", "G_aa", "G_bb", "R_ab", "log_amount"), LINES)
+    return s.select("row_ord", "layer", *[r6(c) for c in ("t_edge_amount", "t_endpoint_a_amount", "t_endpoint_b_amount", "t_endpoint_max_abs", "t_endpoint_sum_sq")])
+
+
 def shrinkage(spark, d):
     g = _radius_zero(spark, d)
     out = {}
@@ -361,7 +369,7 @@ def block_bootstrap(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        tx_table, edges_long, tabular, entity_norm, chrono_split, global_rate_by_layer, recent_release_7d, event_history, temporal_features, row_aggregates, common_neighbors, green_r0, shrinkage, layer_field_aggregates,
+        tx_table, edges_long, tabular, entity_norm, chrono_split, global_rate_by_layer, recent_release_7d, event_history, temporal_features, row_aggregates, common_neighbors, green_r0, edge_amount_statistics, shrinkage, layer_field_aggregates,
         delay_contrast, exposure_strata, wide_history, p_at_k, p_at_k_ceil, ranking_metrics, calibration, top_tail_calibration, cohort_metrics, reranked, mixture_selected, gain_table, comparisons, tie_audit, release_audit,
         placebo_labels, warm_and_cold, bipartite_pairs, addr_history, addr_one_hop, addr_exact_green, green_r2, precision_r2, bounded_r2, gbt_scores, logistic_tail, oof_scores, block_bootstrap,
     )

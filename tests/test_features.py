@@ -159,6 +159,31 @@ def test_permuted_labels_keep_their_number(spark):
     assert count(a) == count(df) == count(b) and rows(a) != rows(df) and rows(a) == rows(audit.permute_labels(df, spec, 1))
 
 
+def test_made_up_events_are_the_same_for_any_partitioning(spark):
+    from causeway.sources.synthetic import transactions
+
+    a = transactions(spark)
+    rows = sorted(map(str, a.collect()))
+    assert len(rows) == 600 and rows == sorted(map(str, transactions(spark).repartition(7).collect()))
+    times = [r["t"] for r in a.orderBy("row_ord").collect()]
+    assert times == sorted(times) and 10 < a.agg(F.sum("label")).first()[0] < 200
+    e = edges.edges(a, SPEC)
+    assert green.fields(e, SPEC, FieldConfig(cap=10)).count() == 600
+
+
+def test_gates_and_screens(spark):
+    from causeway.operators import gains, rerank
+
+    df = spark.createDataFrame([("a", 0.2, 0.8), ("b", 0.2, 0.8), ("c", 0.2, 0.8)], "cohort string, base double, other double")
+    choice = spark.createDataFrame([("a", "other"), ("b", "base")], "cohort string, model string")
+    got = {r["cohort"]: r["gated"] for r in rerank.cohort_gate(df, choice, ["cohort"], ["base", "other"], "base", 0.65).collect()}
+    assert got == {"a": pytest.approx(0.65 * 0.8 + 0.35 * 0.2), "b": pytest.approx(0.2), "c": 0.2}
+    assert df.select(rerank.logit_delta("base", "other", 1.0)).first()[0] == pytest.approx(0.8)
+    m = spark.createDataFrame([(w, c, x, v) for w in range(2) for c in "ab" for x, v in (("l", 0.5 + w / 10), ("r", 0.4))], "window int, cohort string, model string, ap double")
+    assert gains.margins(m, ["a"], "l", "r", "ap").first()["least_margin"] == pytest.approx(0.1)
+    assert audit.selection_leaks('{"a": [{"test_used_for_selection": true}, {"test_used_for_selection": false}]}') == ["/a/0/test_used_for_selection"]
+
+
 def test_names_and_merges(spark):
     cols = ["card--addr__d0_a5__S_left", "card--addr__d0_a5__SD_sqrt_left", "agg__count_velocity__max", "card__addr__count_a"]
     assert assemble.column_marker(cols, 0, 5, "S") == cols[:1]
