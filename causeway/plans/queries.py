@@ -155,12 +155,8 @@ def layer_field_aggregates(spark, d):
 
 def delay_contrast(spark, d):
     _, h = _history(spark, d, [0, 1, 7, 14])
-    rows = None
-    for i, days in enumerate((0, 1, 7, 14)):
-        one = history.field_h(h, i, 5).select("row_ord", "layer", "side", F.lit(days).alias("delay"), "H")
-        rows = one if rows is None else rows.unionByName(one)
-    c = assemble.delay_contrast(rows, ["row_ord", "layer", "side"], "H", "delay", [(0, 7), (1, 14)])
-    return c.select("row_ord", "layer", "side", r6("contrast_0_minus_7"), r6("contrast_1_minus_14"))
+    value = lambda i: history.signal(F.col(f"f_{i}"), F.col(f"n_{i}"), F.col(f"rate_{i}"), 5.0)
+    return h.select("row_ord", "layer", "side", r6(value(0) - value(2), "contrast_0_minus_7"), r6(value(1) - value(3), "contrast_1_minus_14"))
 
 
 def exposure_strata(spark, d):

@@ -188,6 +188,8 @@ def test_names_and_merges(spark):
     cols = ["card--addr__d0_a5__S_left", "card--addr__d0_a5__SD_sqrt_left", "agg__count_velocity__max", "card__addr__count_a"]
     assert assemble.column_marker(cols, 0, 5, "S") == cols[:1]
     assert assemble.base_groups(cols)["cold"] == cols[2:]
+    long = spark.createDataFrame([(1, 0, 0.5), (1, 7, 0.2), (2, 0, 0.1)], "k long, delay int, h double")
+    assert sorted(map(tuple, assemble.delay_contrast(long, ["k"], "h", "delay", [(0, 7)]).collect())) == [(1, pytest.approx(0.3)), (2, None)]
     a, b = spark.createDataFrame([(1, 2)], "k long, x long"), spark.createDataFrame([(1, 3, 4)], "k long, x long, y long")
     assert assemble.merge_features(a, b, keys=["k"]).collect() == [(1, 2, 4)]
     t = scalar.tabular_features(spark.createDataFrame([(3600 * 30, -4.0, None)], "t long, amount double, c string"), "t", "amount", ["c"], ["c"], ["c"]).first()
