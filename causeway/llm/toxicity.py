@@ -81,14 +81,18 @@ class Model:
         return F.pandas_udf(run, T.DoubleType())(F.col(text))
 
 
-def train(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[float, np.ndarray]:
-    """Full-batch Adam on the non-negative risk with the logistic loss; returns bias and weights."""
+def train(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 300, rate: float = 0.05, prior_strength: float = 0.175) -> tuple[float, np.ndarray]:
+    """Full-batch Adam on the non-negative risk with the logistic loss; returns bias and weights.
+
+    The weights have a prior of one strength, so its decay falls with the number of positives.
+    """
     length = np.fromiter(map(len, rows), np.int64, len(rows))
     column = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
     row = np.repeat(np.arange(len(rows)), length)
     w, b = np.zeros(n_features), 0.0
     p, u = positive, ~positive
     n_p, n_u = max(p.sum(), 1), max(u.sum(), 1)
+    decay = prior_strength / n_p
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, steps + 1):
         z = np.clip(b + np.bincount(row, w[column], len(rows)), -30, 30)

@@ -6,9 +6,8 @@ from causeway.llm import toxicity
 
 
 def auc(score, label):
-    order = np.argsort(score, kind="stable")
-    rank = np.empty(len(score))
-    rank[order] = np.arange(1, len(score) + 1)
+    _, at, n = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[at]  # ties share their mean rank
     k = label.sum()
     return (rank[label == 1].sum() - k * (k + 1) / 2) / (k * (len(label) - k))
 
@@ -18,9 +17,9 @@ def test_held_out_accuracy(spark):
     model = toxicity.fit(docs, labels)
     rows = toxicity.score(docs.join(labels, "doc_id"), model).where("held_out").join(labels, "doc_id").collect()
     y, p = np.array([r["toxic"] for r in rows]), np.array([r["score"] for r in rows])
-    assert len(rows) > 300 and auc(p, y) > 0.97
+    assert len(rows) > 300 and auc(p, y) > 0.96
     found = p >= 0.5
-    assert found[y == 1].mean() > 0.85 and found[y == 0].mean() < 0.01
+    assert found[y == 1].mean() > 0.9 and found[y == 0].mean() < 0.015
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows)
 
 
