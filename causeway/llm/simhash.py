@@ -16,6 +16,8 @@ most 2 bits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import minhash
 from ._base import bounded_batches, materialize
 from .components import connected_components
 
@@ -103,6 +106,16 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.union(some).union(star).distinct()
 
 
+def _classes(rows: DataFrame, edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(fp, component_id)`` of rows ``(doc_id, fp)``, linked by the ``edges`` of their distinct ``fp``."""
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    roots = connected_components(edges(nodes))
+    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    linked = materialize(linked, "linked")
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    return materialize(linked.join(least, "root").select("fp", "component_id"), "classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, a row for each row of ``docs``.
 
@@ -113,23 +126,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated.  Other columns of ``docs`` are not read.
     """
     rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = connected_components(links(nodes.select("fp")))
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = materialize(linked, "linked")
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = materialize(linked.join(least, "root").select("fp", "component_id"), "classes")
-    joined = rows.join(classes, "fp", "left")
+    joined = rows.join(_classes(rows, lambda nodes: links(nodes.select("fp"))), "fp", "left")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, component_id)`` as ``near_duplicates`` gives them, with links by the similarity of ``minhash``'s shingles.
+
+    Texts without words, null ones too, are copies of each other.
+    """
+    rows = materialize(minhash.signatures(docs, id_col, text_col), "signatures")
+    return rows.select("doc_id", "fp").join(_classes(rows, lambda _: minhash.links(rows, similarity)), "fp", "left").select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, all columns as given.
 
+    Components are those of ``near_duplicates``, or of ``similar`` where a ``similarity`` is given.
+
     Rows without an id cannot be named as copies and stay.  An id that names several texts
     stays if one of them is kept; rows that repeat both id and text are kept once.
     """
-    found = near_duplicates(docs, id_col, text_col).groupBy("doc_id")
+    found = near_duplicates(docs, id_col, text_col) if similarity is None else similar(docs, similarity, id_col, text_col)
+    found = found.groupBy("doc_id")
     found = materialize(found.agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("keep"), F.count("*").alias("n")), "kept")
     gone = found.where("not keep").select(F.col("doc_id").alias("__gone_id"))
     kept = docs.join(gone.hint("merge"), F.col(id_col) == F.col("__gone_id"), "left_anti")
