@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Identifiers of licence sentences and the normalised wording (a regular expression for the whole sentence).
 SENTENCES = (
-    ("apache2_line", r"(?:this (?:work|file|software|text) is )?licensed under the apache license,? version 2 0"),
+    ("apache2_line", r"(?:this (?:work|file|software|text) is )?licensed under the apache license,? version 2 0(?: \(the license\))?"),
     ("apache2_compliance", r"you may not use this file except in compliance with the license"),
     ("apache2_asis", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an as is basis.*"),
     ("mit_line", r"(?:this (?:work|file|software|text) is )?(?:released|licensed|distributed) under the mit license"),
@@ -46,8 +46,10 @@ RULES = (
 )
 #: A text without any of these has no licence sentence; a sentence without one is none.
 CUES = r"(?i)licen[sc]ed?\b|released under|distributed under|permission|redistribut|warranty|compliance with|all rights reserved|as is|endorse|applicable law"
-#: Sentences end at a full stop, question or exclamation mark before white space, and at line ends.
-SPLIT = r"(?<=[.!?])[\x20\x09]+|[\n\r]+"
+#: What comments put around the text of a line.
+MARKS = r"(?m)^[\x20\x09]*(?://+|/\*+|\*+/?|#+|--+|;+|%+|>+|<!--)?[\x20\x09]*|[\x20\x09]*(?:\*+/|-->)?[\x20\x09]*$"
+#: Sentences end at a full stop, question or exclamation mark before white space, and at blank lines.
+SPLIT = r"(?<=[.!?])[\x20\x09\n]+|\n{2,}"
 
 
 def normalise(sentence: Column) -> Column:
@@ -57,7 +59,11 @@ def normalise(sentence: Column) -> Column:
 
 
 def identifiers(text: Column) -> Column:
-    """The identifiers of the licence sentences of a text in their order; unknown sentences give none."""
+    """The identifiers of the licence sentences of a text in their order; unknown sentences give none.
+
+    Lines of a paragraph, without comment marks, are joined, and its sentences are tried as they then are.  A sentence
+    that is known so is one; of any other, each line is tried by itself, too.
+    """
     known = F.lit(None).cast("string")
 
     def name(s: Column) -> Column:
@@ -66,8 +72,17 @@ def identifiers(text: Column) -> Column:
             out = F.when(s.rlike(f"^(?:{wording})$"), F.lit(ident)).otherwise(out)
         return out
 
-    cut = F.filter(F.split(text, SPLIT), lambda s: s.rlike(CUES))
-    return F.filter(F.transform(F.transform(cut, normalise), name), lambda x: x.isNotNull())
+    def named(cut: Column) -> Column:
+        cut = F.filter(cut, lambda s: s.rlike(CUES))
+        return F.filter(F.transform(F.transform(cut, normalise), name), lambda x: x.isNotNull())
+
+    def sentence(s: Column) -> Column:
+        joined = F.regexp_replace(s, r"\n", " ")
+        whole, parts, lines = named(F.array(joined)), named(F.split(joined, r";\x20+")), named(F.split(s, r"\n"))
+        return F.when(F.size(whole) > 0, whole).when(F.size(parts) > F.size(lines), parts).otherwise(lines)
+
+    plain = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), MARKS, "")
+    return F.flatten(F.transform(F.filter(F.split(plain, SPLIT), lambda s: s.rlike(CUES)), sentence))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -40,3 +40,50 @@ def test_odd_rows(odd):
     assert licenses.scan(odd).count() == odd.count()
     plan = licenses.scan(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+WRAPPED_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+
+
+def test_wrapped_texts(spark):
+    texts, want = [], []
+    for text, name in ((APACHE, "Apache-2.0"), (WRAPPED_MIT, "MIT"), (GPL, "GPL-3.0")):
+        commented = "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in text.splitlines()) + " */\nint x;"
+        for form in (text, "".join(f"# {x}".rstrip() + "\n" for x in text.splitlines()), commented, text.replace("\n", "\r\n"), "Some prose without an end\n\n" + text + "\nAll rights reserved."):
+            texts.append(form)
+            want.append(name + (",All-rights-reserved" if form.endswith("reserved.") else ""))
+    texts.append("a title\nReleased under the MIT License\nmore prose")
+    want.append("MIT")
+    texts.append(APACHE.replace("\n", " "))
+    want.append("Apache-2.0")
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k]["licenses"] for k in range(len(texts))] == want
+    assert {got[k]["unmatched"] for k in range(len(texts) - 1)} == {0}
