@@ -11,11 +11,13 @@ from causeway.functions import scalar
 from causeway.operators import address, assemble, audit, bootstrap, edges, gains, green, history, metrics, models, rerank, temporal
 from causeway.operators.kernel import FieldConfig
 from causeway.sources import tables
-from causeway.spec import DAY, EVENTS, LINES
+from causeway.spec import DAY, EVENTS, LINES, MAX_NODES
 
 WINDOW_ROWS = 10_000
-#: The ego walk of registered graph queries: radius 2 under a cap, so that hubs stop it.
-FIELDS = FieldConfig(delays=(0, 7 * DAY), alphas=(5.0, 20.0), radius=2, cap=24)
+#: The ego walk of registered graph queries: radius 2 under the default cap; the bounded ladder's; the address graph's.
+FIELDS = FieldConfig(delays=(0, 7 * DAY), alphas=(5.0, 20.0), radius=2, cap=MAX_NODES)
+BOUNDED = FieldConfig(delays=(DAY,), green=False, cap=MAX_NODES, fallback_cap=30)
+ADDRESS_CAP = 50
 
 
 def r6(c: str | Column, out: str | None = None) -> Column:
@@ -299,7 +301,7 @@ def addr_one_hop(spark, d):
 
 
 def addr_exact_green(spark, d):
-    return address.exact_green(*tables.bipartite(spark, d), cap=24)
+    return address.exact_green(*tables.bipartite(spark, d), cap=ADDRESS_CAP)
 
 
 # ---------------------------------------------------------------- fields of radius 2, models, streams: not for SQL
@@ -316,12 +318,12 @@ def green_r2(spark, d):
 
 
 def precision_r2(spark, d):
-    config = FieldConfig(delays=(0,), green=False, cap=24, panel=(("sqrt", 5.0, 1.0), ("count", 5.0, 1.0), ("log1p", 5.0, 0.5), ("recent", 5.0, 1.0)), posterior=True, recent=7 * DAY)
+    config = FieldConfig(delays=(0,), green=False, cap=MAX_NODES, panel=(("sqrt", 5.0, 1.0), ("count", 5.0, 1.0), ("log1p", 5.0, 0.5), ("recent", 5.0, 1.0)), posterior=True, recent=7 * DAY)
     return green.fields(*_windowed(spark, d), config)
 
 
 def bounded_r2(spark, d):
-    return green.fields(*_windowed(spark, d), FieldConfig(delays=(DAY,), green=False, cap=24, fallback_cap=12))
+    return green.fields(*_windowed(spark, d), BOUNDED)
 
 
 def _model_rows(spark, d) -> DataFrame:

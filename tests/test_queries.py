@@ -44,3 +44,9 @@ def test_entry_module(spark):
 @pytest.mark.parametrize("name", ["addr_exact_green", "green_r2", "precision_r2", "bounded_r2", "block_bootstrap"])
 def test_queries_without_sql_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_graph_queries_have_the_default_caps():
+    from causeway.plans import queries as q
+
+    assert (q.FIELDS.cap, q.BOUNDED.cap, q.BOUNDED.fallback_cap, q.ADDRESS_CAP) == (100, 100, 30, 50)
