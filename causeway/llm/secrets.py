@@ -32,10 +32,11 @@ CLASSES = {
     "base64": (r"^[A-Za-z0-9+/_=-]+$", "+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz", 3.8),
 }
 #: Candidates that match are not secrets: no digit or no letter, words joined by marks, paths, UUIDs, dates, placeholders.
+#: The repeated group is possessive: the engine then loops over it, where it would else go one call deeper for each round.
 ALLOW = (
     r"^[^0-9]+$",
     r"^[^A-Za-z]+$",
-    r"^[0-9]*[A-Za-z]+[0-9]{0,4}([_/=+-]+[0-9]*[A-Za-z]*[0-9]{0,4})*$",
+    r"^[0-9]*+[A-Za-z]++[0-9]{0,4}+(?:[_/=+-]++[0-9]*+[A-Za-z]*+[0-9]{0,4}+)*+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)(example|placeholder|changeme|dummy|xxxx|0000|1234567)",
 )
@@ -67,24 +68,36 @@ def _spans(text: Column, pattern: str, kind: int, keep=None, group: int | None =
 def peak_entropy(s: Column, symbols: str, window: int = WINDOW) -> Column:
     """The highest Shannon entropy in bits of any window of ``s``, by incremental counts; -1 if ``s`` is shorter than one.
 
-    Symbols outside ``symbols`` share one count.
+    Symbols outside ``symbols`` share one count.  Counts are packed, several to a 64-bit word, so
+    that a move of the window changes two of a few words.
     """
+    bits = max(window.bit_length(), 1)
+    per = 62 // bits
+    n_words = len(symbols) // per + 1
     term = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    zero = F.struct(F.array_repeat(F.lit(0), len(symbols) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"), F.lit(1).alias("i"))
+    left = lambda x, n: F.call_function("shiftleft", x, n)
+    zero = F.struct(F.array_repeat(F.lit(0).cast("bigint"), n_words).alias("words"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"), F.lit(1).alias("i"))
     chars = F.slice(F.split(s, ""), F.lit(1), F.length(s))
     leaving = F.slice(F.concat(F.array_repeat(F.lit(""), window), chars), F.lit(1), F.length(s))
-    code = lambda c: F.instr(F.lit(symbols), c)
-    moves = F.zip_with(chars, leaving, lambda a, b: F.struct(code(a).alias("into"), F.when(b != "", code(b)).otherwise(F.lit(-1)).alias("out")))
+
+    def place(c: Column) -> Column:
+        code = F.instr(F.lit(symbols), c)
+        return F.struct(code.alias("code"), F.floor(code / per).cast("int").alias("word"), (code % per * bits).alias("shift"))
+
+    moves = F.zip_with(chars, leaving, lambda a, b: F.struct(place(a).alias("into"), F.when(b != "", place(b)).alias("out")))
+    one = F.lit(1).cast("bigint")
 
     def step(state: Column, move: Column) -> Column:
-        counts, into, out = state["counts"], move["into"], move["out"]
-        same = into == out
-        c_in, c_out = F.element_at(counts, into + 1), F.when(out >= 0, F.element_at(counts, out + 1)).otherwise(F.lit(0))
-        lost = F.when(out >= 0, term(c_out) - term(c_out - 1)).otherwise(F.lit(0.0))
+        words, into, out = state["words"], move["into"], move["out"]
+        count = lambda p: F.call_function("shiftright", F.element_at(words, p["word"] + 1), p["shift"]).bitwiseAND(F.lit((1 << bits) - 1))
+        same = F.coalesce(into["code"] == out["code"], F.lit(False))
+        c_in, c_out = count(into), F.coalesce(count(out), F.lit(0))
+        lost = F.when(c_out > 0, term(c_out) - term(c_out - 1)).otherwise(F.lit(0.0))
         total = F.when(same, state["sum"]).otherwise(state["sum"] + term(c_in + 1) - term(c_in) - lost)
-        moved = F.when(same, counts).otherwise(F.transform(counts, lambda c, k: c + (k == into).cast("int") - (k == out).cast("int")))
+        change = lambda k, p: F.when(k == p["word"], left(one, p["shift"])).otherwise(F.lit(0))
+        moved = F.when(same, words).otherwise(F.transform(words, lambda w, k: w + change(k, into) - change(k, out)))
         entropy = F.when(state["i"] >= window, F.log2(F.lit(float(window))) - total / window).otherwise(F.lit(-1.0))
-        return F.struct(moved.alias("counts"), total.alias("sum"), F.greatest(state["best"], entropy).alias("best"), (state["i"] + 1).alias("i"))
+        return F.struct(moved.alias("words"), total.alias("sum"), F.greatest(state["best"], entropy).alias("best"), (state["i"] + 1).alias("i"))
 
     return F.when(F.length(s) >= window, F.aggregate(moves, zero, step, lambda st: F.round(st["best"], 9))).otherwise(F.lit(-1.0))
 
