@@ -9,21 +9,25 @@ next one, the prefix of documents in an order seeded for leaf and epoch.
 The tree's levels are solved in closed form by windows over the children of a node (rows of
 the tree, not of documents).  The prefix is found by two levels: tokens are summed by hash
 bucket of the seeded order, whole buckets before the budget's end are taken, and just the
-bucket in which it ends is ordered by document.
+bucket in which it ends goes on: it is cut into buckets again by the next digits, until it is
+small enough to be ordered by document.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import WORD, materialize
+from ._base import materialize
 
 LEVELS = ("domain", "lang", "source")
-#: Hex digits of the seeded hash that make a bucket: 16^BUCKET_DIGITS buckets for each leaf.
-BUCKET_DIGITS = 3
+#: Hex digits of the seeded hash that make a bucket at each cut: 16^BUCKET_DIGITS buckets for each leaf.
+BUCKET_DIGITS = 2
+#: A leaf's last bucket is cut again while any has more documents than this.
+MAX_EDGE = 1024
 
 
 def default_domain(source: Column) -> Column:
@@ -31,16 +35,20 @@ def default_domain(source: Column) -> Column:
     return F.concat(F.lit("domain"), F.coalesce(F.regexp_extract(source, "([0-9]+)$", 1).try_cast("bigint") % 4, F.lit(0).cast("bigint")).cast("string"))
 
 
-def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``(doc_id, domain, lang, source, n_tokens)``: words of whole texts; nulls are the language or source ``?``."""
+def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain_col: str | None = None) -> DataFrame:
+    """``(doc_id, domain, lang, source, n_tokens)``: words of whole texts; nulls are the domain, language or source ``?``.
+
+    The domain is that of ``domain_col``, or of a column ``domain`` where there is one, else of the source's number.
+    """
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("?"))
-    words = F.size(F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+"))
+    given = domain_col or ("domain" if "domain" in docs.columns else None)
+    words = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), "")
     return docs.select(
         F.col(id_col).alias("doc_id"),
-        default_domain(source).alias("domain"),
+        (F.coalesce(F.col(given).cast("string"), F.lit("?")) if given else default_domain(source)).alias("domain"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit("?")).alias("lang"),
         source.alias("source"),
-        F.when(F.coalesce(F.col(text_col), F.lit("")).rlike(WORD), words).otherwise(F.lit(0)).cast("long").alias("n_tokens"),
+        F.size(words).cast("long").alias("n_tokens"),
     )
 
 
@@ -103,21 +111,23 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]] | None = None, sha
     leaves = materialize(leaves.withColumns({"whole": F.expr("budget div n_tokens"), "part": F.col("budget") % F.col("n_tokens")}), "budgets")
     placed = rows.join(F.broadcast(leaves.select(*LEVELS, "whole", "part")) if _small(leaves) else leaves.select(*LEVELS, "whole", "part"), list(LEVELS))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))))
-    placed = placed.withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    sums = placed.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("here"))
+    edge = placed.withColumns({"key": key, "base": F.lit(0).cast("bigint")})
     running = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = materialize(sums.withColumn("before", F.coalesce(F.sum("here").over(running), F.lit(0))), "buckets")
-    at = placed.join(sums, [*LEVELS, "bucket"])
-    inside = (F.col("before") + F.col("here") <= F.col("part")).alias("inside")
-    edge = at.where((F.col("before") <= F.col("part")) & (F.col("before") + F.col("here") > F.col("part")))
+    found = []
+    taken = lambda d, fits: d.select("doc_id", *LEVELS, "n_tokens", (F.col("whole") + (F.col(fits) & (F.col("n_tokens") > 0)).cast("long")).alias("n_copies"))
+    for cut in range(0, 32, BUCKET_DIGITS):
+        rows = edge.withColumn("bucket", F.substring("key", cut + 1, BUCKET_DIGITS))
+        sums = rows.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("here"), F.max("base").alias("base"))
+        sums = materialize(sums.withColumn("base", F.col("base") + F.coalesce(F.sum("here").over(running), F.lit(0))), "buckets")
+        at = rows.drop("base").join(sums, [*LEVELS, "bucket"]).drop("bucket")
+        ends = (F.col("base") <= F.col("part")) & (F.col("base") + F.col("here") > F.col("part"))
+        found.append(taken(at.where(~ends).withColumn("fits", F.col("base") + F.col("here") <= F.col("part")), "fits"))
+        edge = materialize(at.where(ends).drop("here"), "edge")
+        if (edge.groupBy(*LEVELS).count().agg(F.max("count")).first()[0] or 0) <= MAX_EDGE:
+            break
     total = Window.partitionBy(*LEVELS).orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("fits", F.col("before") + F.sum("n_tokens").over(total) <= F.col("part"))
-    keep = ["doc_id", *LEVELS, "n_tokens"]
-    out = at.where(~((F.col("before") <= F.col("part")) & (F.col("before") + F.col("here") > F.col("part")))).select(
-        *keep, (F.col("whole") + (inside & (F.col("n_tokens") > 0)).cast("long")).alias("n_copies")
-    )
-    out = out.unionByName(edge.select(*keep, (F.col("whole") + (F.col("fits") & (F.col("n_tokens") > 0)).cast("long")).alias("n_copies")))
-    return out.where("n_copies > 0")
+    found.append(taken(edge.withColumn("fits", F.col("base") + F.sum("n_tokens").over(total) <= F.col("part")), "fits"))
+    return reduce(DataFrame.unionByName, found).where("n_copies > 0")
 
 
 def _small(leaves: DataFrame, rows: int = 10_000) -> bool:
