@@ -7,7 +7,8 @@ from its own start.  Where a chunk's own start falls inside a pre-token its firs
 are wrong, but the rule that makes pre-tokens looks only forward, so from the first boundary
 that the chunk before also has the two agree to the end.  The stitch takes each chunk's ids
 from that boundary on.  Chunks that never agree within the overlap (one run of letters longer
-than the overlap) are joined and encoded as one.
+than the overlap) are joined and encoded as one; a run that is joined doubles before it is
+encoded again, so that the work stays in proportion to its length.
 
 Decoding concatenates the raw bytes of the ids; it is exact for any ids of the vocabulary.
 """
@@ -26,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import bounded_batches
+from ._base import bounded_batches, materialize
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
@@ -42,7 +43,8 @@ class Codec:
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # Pre-tokens are found here, so the library sees one at a time: its own pattern takes all of it.
+        self.bpe = tiktoken.Encoding("one pre-token", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         # The library's \s is Unicode's White_Space; this module's may be wider.
         self.find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
         size = max(ranks.values()) + 1
@@ -53,7 +55,7 @@ class Codec:
 
     def piece(self, text: str) -> bytes:
         """The ids of one pre-token as little-endian 32-bit integers."""
-        found = np.array(self.bpe._core_bpe.encode_single_piece(text.encode()), "<u4").tobytes()
+        found = np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         self.known[text] = found
@@ -93,8 +95,9 @@ def stitch(c: Codec, chunks: list[str], chunk: int = CHUNK, overlap: int = OVERL
     """
     done = done or [c.boundaries(x) for x in chunks]
     out: list[bytes] = []
-    text, (ids, at, before), base, start = chunks[0], done[0], 0, 0
-    for k in range(1, len(chunks)):
+    (ids, at, before), base, start = done[0], 0, 0
+    first, k = 0, 1
+    while k < len(chunks):
         here = k * chunk
         other_ids, other_at, other_before = done[k]
         # The last two pre-tokens of a cut chunk may not be what they are in the whole text.
@@ -104,10 +107,11 @@ def stitch(c: Codec, chunks: list[str], chunk: int = CHUNK, overlap: int = OVERL
         if len(both):
             sync = int(both[0])
             out.append(ids[4 * before[np.searchsorted(at, start)] : 4 * before[np.searchsorted(at, sync - base)]])
-            text, ids, at, before, base, start = chunks[k], other_ids, other_at, other_before, here, sync - here
+            ids, at, before, base, start, first = other_ids, other_at, other_before, here, sync - here, k
+            k += 1
         else:
-            text += chunks[k][base + len(text) - here :]
-            ids, at, before = c.boundaries(text)
+            k = min(k + (k - first), len(chunks))
+            ids, at, before = c.boundaries("".join([*(x[:chunk] for x in chunks[first : k - 1]), chunks[k - 1]]))
     out.append(ids[4 * before[np.searchsorted(at, start)] :])
     return b"".join(out)
 
@@ -130,16 +134,16 @@ def _short(path: str, pattern: str, want: str):
 
 
 def _apply(docs: DataFrame, text_col: str, path: str, pattern: str, want: str) -> DataFrame:
-    """``docs`` with ``__bpe``; long texts by chunks, joined with the rest."""
-    long = F.length(F.coalesce(F.col(text_col), F.lit(""))) > CHUNK + OVERLAP
-    short = bounded_batches(docs).where(~long).withColumn("__bpe", _short(path, pattern, want)(F.col(text_col)))
-    row = docs.where(long).withColumn("__row", F.monotonically_increasing_id())
+    """``docs`` with ``__bpe``; long texts by chunks, joined with the rest.
+
+    Rows of long texts are written with a number each before they are cut, so that a task that
+    runs again pairs the same text with the same row.
+    """
+    size = F.length(F.coalesce(F.col(text_col), F.lit("")))
+    short = bounded_batches(docs).where(size <= CHUNK + OVERLAP).withColumn("__bpe", _short(path, pattern, want)(F.col(text_col)))
+    long = materialize(docs.where(size > CHUNK + OVERLAP).withColumn("__row", F.monotonically_increasing_id()), "long")
     ks = F.sequence(F.lit(0), F.ceil((F.length(text_col) - OVERLAP) / CHUNK).cast("int") - 1)
-    rest = row.select(
-        "__row",
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("__rest"),
-        F.posexplode(F.transform(ks, lambda k: F.substring(F.col(text_col), k * CHUNK + 1, F.lit(CHUNK + OVERLAP)))).alias("k", "chunk"),
-    )
+    pieces = long.select("__row", F.posexplode(F.transform(ks, lambda k: F.substring(F.col(text_col), k * CHUNK + 1, F.lit(CHUNK + OVERLAP)))).alias("k", "chunk"))
 
     def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path, pattern)
@@ -156,16 +160,12 @@ def _apply(docs: DataFrame, text_col: str, path: str, pattern: str, want: str) -
         done = [(i, np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")) for i, a, b in zip(frame["ids"], frame["at"], frame["before"], strict=True)]
         ids = stitch(c, frame["chunk"].tolist(), done=done)
         value = dict(zip([x.split()[0] for x in DIGESTS.split(", ")], digests(c, ids, len(done)), strict=True)) if want == "digests" else ids
-        return pd.DataFrame({"__row": frame["__row"].iloc[:1], "__bpe": [value], "text": ["".join([*(x[:CHUNK] for x in frame["chunk"][:-1]), frame["chunk"].iloc[-1]])]})
+        return pd.DataFrame({"__row": frame["__row"].iloc[:1], "__bpe": [value]})
 
     kind = f"struct<{', '.join(f'{a}:{b}' for a, b in map(str.split, DIGESTS.split(', ')))}>" if want == "digests" else "binary"
-    keep = rest.select("__row", "k", "chunk").repartition("__row", "k").mapInPandas(chunks, "__row long, k int, chunk string, ids binary, at binary, before binary")
-    found = keep.groupBy("__row").applyInPandas(join, f"__row long, __bpe {kind}, text string")
-    first = rest.where("k = 0").select("__row", "__rest")
-    back = first.join(found, "__row").select(
-        *[F.col("text").alias(c) if c == text_col else F.col(f"__rest.`{c}`").alias(c) for c in docs.columns], "__bpe"
-    )
-    return short.unionByName(back)
+    encoded = pieces.repartition("__row", "k").mapInPandas(chunks, "__row long, k int, chunk string, ids binary, at binary, before binary")
+    found = encoded.groupBy("__row").applyInPandas(join, f"__row long, __bpe {kind}")
+    return short.unionByName(long.join(found, "__row").drop("__row"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:

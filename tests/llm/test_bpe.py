@@ -1,9 +1,13 @@
+import base64
 import hashlib
 import random
+import time
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+import tiktoken
 
 from causeway.llm import bpe
 
@@ -15,8 +19,14 @@ def codec():
     return bpe.codec(PATH, P.PATTERN)
 
 
+@lru_cache
+def encoding():
+    with open(PATH, "rb") as f:
+        return tiktoken.Encoding("whole", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+
+
 def library(codec, text):
-    return np.array(codec.bpe.encode_ordinary(text), "<u4").tobytes()
+    return np.array(encoding().encode_ordinary(text), "<u4").tobytes()
 
 
 def test_stitched_chunks_equal_the_library(codec):
@@ -62,3 +72,26 @@ def test_encode_and_decode_keep_columns(codec, odd):
     assert frame.columns == [*odd.columns, "ids", "decoded"]
     for r in frame.collect():
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
+
+
+def test_both_ways_at_the_size_of_a_chunk(codec):
+    """Texts around one chunk, whole and by chunks; runs that never agree are joined in linear time."""
+    rng = random.Random(6)
+    for size in (bpe.CHUNK, bpe.CHUNK + bpe.OVERLAP, bpe.CHUNK + bpe.OVERLAP + 1, 3 * bpe.CHUNK):
+        text = "".join(rng.choice("abc  é1\n") for _ in range(size))
+        assert bpe.stitch(codec, bpe.cut(text)) == codec.encode(text) == library(codec, text)
+    for run in (" " * 1_000_000, "ab" * 200_000, "a b " + "\n" * 500_000 + " c d"):
+        began = time.time()
+        whole = codec.encode(run)
+        one = time.time() - began
+        began = time.time()
+        assert bpe.stitch(codec, bpe.cut(run)) == whole
+        assert time.time() - began < 8 * one + 3
+
+
+def test_runs_longer_than_a_chunk_stitch_small(codec):
+    rng = random.Random(7)
+    for _ in range(300):
+        text = "".join(rng.choice(["a" * rng.randrange(1, 200), " ", " " * rng.randrange(1, 150), "\n" * rng.randrange(1, 90), "b1", "."]) for _ in range(rng.randrange(1, 14)))
+        size, overlap = rng.choice([(20, 5), (40, 20), (64, 10)])
+        assert bpe.stitch(codec, bpe.cut(text, size, overlap), size, overlap) == library(codec, text)
