@@ -73,19 +73,20 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 _OP3 = f"""
 WITH cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\x20', '\\1' || chr(10), 'g'), chr(10)) AS u FROM documents WHERE text IS NOT NULL),
-line AS (SELECT doc_id, unnest(range(1, len(u) + 1)) AS i, unnest(u) AS unit FROM cut),
+line AS (SELECT doc_id, unnest(range(1, len(u) + 1)) AS k, unnest(u) AS unit FROM cut),
 placed AS (
-  SELECT doc_id, unit, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "start"
+  SELECT doc_id, unit, k, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "start"
   FROM line),
 plain AS (
-  SELECT doc_id, CAST("start" AS BIGINT) AS "start", CAST("start" + length(unit) AS BIGINT) AS "end",
-         trim(regexp_replace(lower(unit), '{_SPACE}', ' ', 'g'), ' ') AS plain FROM placed),
-units AS (SELECT * FROM plain WHERE length(plain) - length(replace(plain, ' ', '')) >= {substring.MIN_WORDS - 1}),
+  SELECT doc_id, k, CAST("start" AS BIGINT) AS "start", CAST("start" + length(unit) AS BIGINT) AS "end",
+         trim(regexp_replace(lower(unit), '{_SPACE}', ' ', 'g'), ' ') AS plain FROM placed WHERE regexp_matches(unit, '{WORD}')),
+units AS (SELECT *, length(plain) - length(replace(plain, ' ', '')) + 1 AS words, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM plain),
 ranked AS (
   SELECT *, first_value(doc_id) OVER w AS first_doc_id, first_value("start") OVER w AS first_start
-  FROM units WINDOW w AS (PARTITION BY plain ORDER BY doc_id, "start"))
-SELECT doc_id, "start", "end", first_doc_id, first_start FROM ranked
-WHERE NOT (doc_id = first_doc_id AND "start" = first_start)
+  FROM units WINDOW w AS (PARTITION BY plain ORDER BY doc_id, "start")),
+again AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM ranked WHERE NOT (doc_id = first_doc_id AND "start" = first_start)),
+passages AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS run_words FROM again)
+SELECT doc_id, "start", "end", first_doc_id, first_start FROM passages WHERE run_words >= {substring.MIN_WORDS}
 """
 
 
@@ -127,4 +128,54 @@ WHERE whole + CASE WHEN n_tokens > 0 AND total <= part THEN 1 ELSE 0 END > 0
 """
 
 
-ORACLE = {"op3_substring_dedup": _OP3, "op8_mixing": _OP8}
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _map(table: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"{_text(k)}: {_text(v)}" for k, v in table.items()) + "}"
+
+
+def _gsub(expr: str, *changes: tuple[str, str]) -> str:
+    for pattern, to in changes:
+        expr = f"regexp_replace({expr}, {_text(pattern)}, {to if to.startswith('chr(') or '||' in to else _text(to)}, 'g')"
+    return expr
+
+
+def _licence_ids(pieces: str) -> str:
+    """SQL of the identifiers of a list of sentences."""
+    whole, heads, names = licenses.lookup()
+    plain = "trim(" + _gsub("lower(p)", (licenses.DROPPED, ""), (licenses.SPACED, " ")) + ", ' ')"
+    plain = _gsub(plain, *[(a, b.replace("@1", "\\1").replace("@2", "\\2")) for a, b in licenses.TOLD])
+    bare = _gsub(f"' ' || replace({_gsub('q', (licenses.PHRASE, ''), (licenses.TAIL, ''))}, ' ', '  ') || ' '", (licenses.FILLER, ""), (" +", " "), (" v ?([0-9])", " \\1"))
+    head = f"array_to_string(string_split(q, ' ')[1:{licenses.HEAD}], ' ')"
+    found = f"coalesce({_map(whole)}[q], {_map(heads)}[{head}], {_map(names)}[trim({bare}, ' ')])"
+    return f"list_filter(list_transform(list_transform({pieces}, lambda p: {plain}), lambda q: {found}), lambda z: z IS NOT NULL)"
+
+
+def _op9() -> str:
+    cut = _gsub("text", ("\\r\\n?", "chr(10)"), (f"(?m){licenses.MARKS}", ""), (licenses.BLANK, "chr(1)"), (licenses.STOP, "'\\1' || chr(1)"))
+    cues, joined = _text(licenses.CUES), "replace(s, chr(10), ' ')"
+    rules, last = [], "r0"
+    for k, (name, sequence) in enumerate(licenses.RULES, 1):
+        now = f"replace(rest, {_text(''.join(f',{x},' for x in sequence))}, '|')"
+        rules.append(f"r{k} AS (SELECT doc_id, ids, {now} AS rest, CASE WHEN {now} <> rest THEN list_append(found, {_text(name)}) ELSE found END AS found FROM {last})")
+        last = f"r{k}"
+    single = f"list_filter(list_transform(list_filter(regexp_split_to_array(rest, '[,|]+'), lambda x: x <> ''), lambda x: {_map(licenses.SINGLE)}[x]), lambda x: x IS NOT NULL)"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT doc_id, CASE WHEN regexp_matches(text, {cues}) THEN list_filter(string_split({cut}, chr(1)), lambda s: regexp_matches(s, {cues})) ELSE [] END AS sentences FROM t),
+one AS (SELECT doc_id, k, s, {_licence_ids(f"[{joined}]")} AS whole, {_licence_ids(f"regexp_split_to_array({joined}, {_text(licenses.PARTS)})")} AS parts, {_licence_ids("string_split(s, chr(10))")} AS lines
+  FROM (SELECT doc_id, unnest(range(1, len(sentences) + 1)) AS k, unnest(sentences) AS s FROM cut)),
+told AS (SELECT doc_id, k, CASE WHEN len(whole) > 0 THEN whole WHEN len(parts) > len(lines) THEN parts ELSE lines END AS ids FROM one),
+every AS (SELECT doc_id, flatten(list(ids ORDER BY k)) AS ids FROM told GROUP BY doc_id),
+r0 AS (SELECT t.doc_id, coalesce(ids, []) AS ids, CASE WHEN len(ids) > 0 THEN ',' || array_to_string(ids, ',,') || ',' ELSE '' END AS rest, CAST([] AS VARCHAR[]) AS found FROM t LEFT JOIN every ON every.doc_id = t.doc_id),
+{", ".join(rules)},
+done AS (SELECT doc_id, ids, found, {single} AS single, len(list_filter(regexp_split_to_array(rest, '[,|]+'), lambda x: x <> '')) AS n FROM {last}),
+named AS (SELECT *, list_concat(found, single) AS names FROM done)
+SELECT doc_id, coalesce(array_to_string(ids, ','), '') AS sentences,
+  coalesce(array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i), ','), '') AS licenses, CAST(n - len(single) AS BIGINT) AS unmatched FROM named
+"""
+
+
+ORACLE = {"op3_substring_dedup": _OP3, "op8_mixing": _OP8, "op9_licenses": _op9()}

@@ -1,4 +1,7 @@
+import duckdb
+
 from causeway.llm import licenses
+from causeway.llm.queries import ORACLE
 
 MIT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files, to deal in it.\n"
@@ -29,11 +32,23 @@ def test_sentences_and_rules(spark, empty):
     assert licenses.scan(empty).collect() == []
 
 
-def test_every_planted_line_is_found(docs):
-    lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "All rights reserved.": "All-rights-reserved"}
-    got = {r["doc_id"]: set(filter(None, r["licenses"].split(","))) for r in licenses.scan(docs).collect()}
-    for r in docs.collect():
-        assert got[r["doc_id"]] == {v for k, v in lines.items() if k in r["text"].split("\n")} | (got[r["doc_id"]] if any(k in r["text"] for k in lines) else set())
+LINES = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "All rights reserved.": "All-rights-reserved"}
+
+
+def test_planted_lines_are_found_and_nothing_else(docs):
+    for r in licenses.scan(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        assert set(filter(None, r["licenses"].split(","))) == {v for k, v in LINES.items() if k in r["text"]} and r["unmatched"] == 0
+
+
+def test_sql_gives_the_same_rows(spark, docs, odd):
+    """DuckDB's own regular expressions and maps, on the documents, made-up notices and odd rows."""
+    texts = [f"{a}{b}{c}" for a in ("", "Some prose.\n\n", "# ") for b in (MIT, APACHE, WRAPPED_MIT, GPL, BSD, *NOTICES) for c in ("", "\nAll rights reserved.", "; SPDX-License-Identifier: MIT OR Apache-2.0")]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for frame in (docs.select("doc_id", "text"), made, odd.where("doc_id is not null").select("doc_id", "text").distinct()):
+        con = duckdb.connect()
+        con.register("documents", frame.toPandas())
+        want = con.execute(ORACLE["op9_licenses"]).fetchall()
+        assert sorted(map(tuple, licenses.scan(frame).collect())) == sorted(want)
 
 
 def test_odd_rows(odd):
@@ -87,3 +102,58 @@ def test_wrapped_texts(spark):
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[k]["licenses"] for k in range(len(texts))] == want
     assert {got[k]["unmatched"] for k in range(len(texts) - 1)} == {0}
+
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this
+   list of conditions and the following disclaimer in the documentation.
+
+3. Neither the name of the Example Foundation nor the names of its
+   contributors may be used to endorse or promote products.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+NOTICES = {
+    BSD: "BSD-3-Clause",
+    BSD.replace(BSD[BSD.index("3. ") : BSD.index("THIS")], ""): "BSD-2-Clause",
+    BSD.replace("3. Neither", "3. All advertising materials mentioning features or use of this software\nmust display the following acknowledgement.\n\n4. Neither"): "BSD-4-Clause",
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.": "MPL-2.0",
+    "The contents of this file are subject to the Mozilla Public License Version\n1.1 (the \"License\"); you may not use it.": "MPL-1.1",
+    GPL.replace("General Public", "Lesser General Public").replace("program", "library").replace("version 3", "version 2.1"): "LGPL-2.1",
+    GPL.replace("General Public", "Affero General Public"): "AGPL-3.0",
+    GPL.replace("version 3", "version 2"): "GPL-2.0",
+    "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA-4.0",
+    "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software.": "Unlicense",
+    "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+    "/* SPDX-License-Identifier: GPL-2.0-only */": "GPL-2.0",
+    "SPDX-License-Identifier: MIT OR Apache-2.0": "MIT,Apache-2.0",
+    "SPDX-License-Identifier: EPL-2.0": "EPL-2.0",
+    "SPDX-License-Identifier: 0BSD": "0BSD",
+    "Licensed under the MIT License (see LICENSE).": "MIT",
+    "Licensed under the MIT license. See LICENSE in the project root.": "MIT",
+    "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at the site.": "EPL-2.0",
+    "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.": "OFL-1.1",
+    "Licensed under the EUPL, version 1.2 or later.": "EUPL-1.2",
+    "Released under CC0 1.0 Universal.": "CC0-1.0",
+    "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the notice appears in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES.": "ISC",
+    "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES.": "0BSD",
+    "This software is provided 'as-is', without any express or implied warranty.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications.": "Zlib",
+    "This software is released under the GNU GPLv3.": "GPL-3.0",
+    "This code is available under the GNU Lesser General Public License v3.0 or later.": "LGPL-3.0",
+    "The software was licensed to them in May.": "",
+    "He asked permission to use the road.": "",
+}
+
+
+def test_notices_of_many_licences(spark):
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(list(enumerate(NOTICES)), "doc_id long, text string")).collect()}
+    assert {t: got[k] for k, t in enumerate(NOTICES)} == NOTICES
+    assert len(licenses.NAMES) >= 25 and set(licenses.SINGLE.values()) >= set(licenses.NAMES)

@@ -4,26 +4,38 @@ import re
 from causeway.llm import substring
 
 
-def brute_units(rows, least=substring.MIN_WORDS):
+def brute_units(rows):
     out = []
-    for doc_id, text in rows:
-        at = 0
+    for doc_id, text in dict.fromkeys(rows):
+        at, i = 0, 0
         for unit in re.split(r"(?<=[.!?])\x20|\n", text) if text is not None else []:
             plain = " ".join(x for x in re.split(r"[\x20\x09-\x0D]+", unit.lower()) if x)
-            if len(plain.split(" ")) >= least:
-                out.append((doc_id, at, at + len(unit), plain))
+            if plain:
+                out.append((doc_id, text, i, at, at + len(unit), plain))
+                i += 1
             at += len(unit) + 1
     return out
 
 
-def brute(rows):
-    first = {}
+def brute(rows, least=substring.MIN_WORDS):
+    first, count = {}, {}
     units = brute_units(rows)
-    for d, a, _, p in units:
+    for d, _, _, a, _, p in units:
         k = (d is None, d, a)
+        count[p] = count.get(p, 0) + 1
         if p not in first or (k[0], k[1] or 0, k[2]) < (first[p][0], first[p][1] or 0, first[p][2]):
             first[p] = k
-    return sorted([(d, a, z, first[p][1], first[p][2]) for d, a, z, p in units if (d, a) != first[p][1:]], key=str)
+    out, run, before = [], [], None
+    for d, t, i, a, z, p in [*units, (None, None, None, None, None, None)]:
+        again = p is not None and (d, a) != first[p][1:]
+        if run and not (again and before == (d, t, i - 1)):
+            if sum(len(x[-1].split(" ")) for x in run) >= least:
+                out += [(d_, a_, z_, first[p_][1], first[p_][2]) for d_, _, _, a_, z_, p_ in run]
+            run = []
+        if again:
+            run.append((d, t, i, a, z, p))
+            before = (d, t, i)
+    return sorted(out, key=str)
 
 
 def check(frame):
@@ -48,6 +60,22 @@ def test_ties_nulls_and_offsets(spark):
     check(frame)
 
 
+def test_passages_go_and_chance_repeats_stay(spark):
+    """A passage pasted into a line goes, a line of short sentences goes, a short line that many texts share stays."""
+    rng = random.Random(2)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)).capitalize() + "."
+    passage = [sentence(12) for _ in range(5)]
+    short = " ".join(sentence(3) for _ in range(10))
+    motto = sentence(9)
+    texts = [f"{sentence(8)} {' '.join(passage)} {sentence(7)}\n{motto}", short + "\n" + sentence(9), f"{sentence(8)} and so {' '.join(passage)[9:]} {sentence(8)}", f"{sentence(4)}\n{short}", f"{motto}\n{sentence(30)}", f"{sentence(30)}\n{motto}"]
+    rows = substring.removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    gone = {}
+    for r in rows:
+        gone.setdefault(r["doc_id"], []).append(texts[r["doc_id"]][r["start"] : r["end"]])
+    assert sorted(gone) == [2, 3]
+    assert set(gone[2]) == set(passage[1:]) and " ".join(sorted(gone[3], key=short.index)) == short
+
+
 def test_cleaned_texts_keep_original_offsets(spark, docs):
     gone = {}
     for r in substring.removed(docs).collect():
