@@ -58,7 +58,7 @@ def vint(value: int) -> bytes:
 
 def read_vint(b: bytes, at: int, keep_marker: bool = False) -> tuple[int, int]:
     """The value at a place and the place after it; -1 is the unknown size."""
-    n = 9 - b[at].bit_length()
+    n = 9 - b[at].bit_length() if at < len(b) else 9
     if n > 8 or at + n > len(b):
         raise ValueError(f"no variable-length integer at byte {at}")
     value = int.from_bytes(b[at : at + n], "big")
@@ -103,6 +103,8 @@ def unlace(kind: int, b: bytes, at: int, end: int) -> list[tuple[int, int]]:
     """``(start, size)`` of each frame in the body of a block."""
     if kind == NO_LACING:
         return [(at, end - at)]
+    if at >= end:
+        raise ValueError(f"no lacing head at byte {at}")
     n, at = b[at] + 1, at + 1
     sizes: list[int] = []
     if kind == FIXED:
@@ -112,8 +114,10 @@ def unlace(kind: int, b: bytes, at: int, end: int) -> list[tuple[int, int]]:
     elif kind == XIPH:
         for _ in range(n - 1):
             size = 0
-            while b[at] == 255:
+            while at < end and b[at] == 255:
                 size, at = size + 255, at + 1
+            if at >= end:
+                raise ValueError("laced sizes exceed the block")
             sizes.append(size + b[at])
             at += 1
     else:
@@ -121,8 +125,9 @@ def unlace(kind: int, b: bytes, at: int, end: int) -> list[tuple[int, int]]:
             if k == 0:
                 size, at = read_vint(b, at)
             else:
-                width = 9 - b[at].bit_length()
+                begun = at
                 raw, at = read_vint(b, at)
+                width = at - begun
                 raw = (1 << 7 * width) - 1 if raw == -1 else raw
                 size = sizes[-1] + raw - ((1 << 7 * width - 1) - 1)
             sizes.append(size)
@@ -166,12 +171,13 @@ def pack(payload: bytes) -> bytes:
 
 
 def elements(b: bytes, at: int, end: int, parent: int = 0):
-    """``(id, start, end)`` of the elements in a range, those inside folders after them.
+    """``(id, start, end, head)`` of the elements in a range, those inside folders after them; ``head`` is where the id stands.
 
     An unknown size runs to the parent's end or, for a cluster, to the next element of the
     segment's level.
     """
     while at < end:
+        head = at
         ident, at = read_vint(b, at, keep_marker=True)
         size, at = read_vint(b, at)
         if size < 0:
@@ -189,53 +195,64 @@ def elements(b: bytes, at: int, end: int, parent: int = 0):
             stop = at + size
         if stop > end:
             raise ValueError(f"element {ident:x} at byte {at} runs past its parent")
-        yield ident, at, stop
+        yield ident, at, stop, head
         if ident in _FOLDERS:
             yield from elements(b, at, stop, ident)
         at = stop
 
 
 def packets(media: bytes) -> tuple[list[Packet], list[tuple[int, int, int]], dict]:
-    """The packet table, the cues ``(time, track, cluster)`` and the header values of a file."""
+    """The packet table, the cues ``(time, track, cluster)`` and the header values of a file.
+
+    A cue's ``cluster`` is the number of the cluster at the byte it points to, -1 where none stands there.  What a
+    track says of itself holds for all its blocks, in whatever order it says so.
+    """
     out: list[Packet] = []
-    cues: list[tuple[int, int, int]] = []
+    cues: list[list[int]] = []
     info = {"scale": 1_000_000, "rate": 0.0, "bits": 0, "codec": "", "duration": 0.0, "clusters": 0}
-    spacing: dict[int, int] = {}
-    time, track, cue_time, cue_track = 0, 0, 0, 0
+    tracks: list[dict] = []
+    clusters: dict[int, int] = {}
+    blocks: list[tuple[int, int, int, int, int]] = []
+    time, body = 0, 0
     whole = lambda a, z: int.from_bytes(media[a:z], "big")
-    real = lambda a, z: float(np.frombuffer(media[a:z], ">f8" if z - a == 8 else ">f4")[0]) if z > a else 0.0
-    for ident, a, z in elements(media, 0, len(media)):
-        if ident == CLUSTER:
+    real = lambda a, z: float(np.frombuffer(media[a:z], ">f8" if z - a == 8 else ">f4")[0]) if z - a in (4, 8) else 0.0
+    for ident, a, z, head in elements(media, 0, len(media)):
+        if ident == SEGMENT:
+            body = a
+        elif ident == CLUSTER:
+            clusters[head - body] = info["clusters"]
             info["clusters"] += 1
         elif ident == TIMESTAMP:
             time = whole(a, z)
         elif ident in (SIMPLE_BLOCK, BLOCK):
             number_, at = read_vint(media, a)
-            offset = int.from_bytes(media[at : at + 2], "big", signed=True)
-            kind = media[at + 2] >> 1 & 3
-            for k, (s, n) in enumerate(unlace(kind, media, at + 3, z)):
-                out.append(Packet(number_, (time + offset) * info["scale"] + k * spacing.get(number_, 0), s, n, kind, info["clusters"] - 1))
+            if at + 3 > z:
+                raise ValueError(f"no block header at byte {a}")
+            blocks.append((number_, time + int.from_bytes(media[at : at + 2], "big", signed=True), at, z, info["clusters"] - 1))
         elif ident == TIMESTAMP_SCALE:
             info["scale"] = whole(a, z)
         elif ident == DURATION:
             info["duration"] = real(a, z)
-        elif ident == TRACK_NUMBER:
-            track = whole(a, z)
-        elif ident == DEFAULT_DURATION:
-            spacing[track] = whole(a, z)
+        elif ident == TRACK_ENTRY:
+            tracks.append({})
+        elif ident in (TRACK_NUMBER, DEFAULT_DURATION) and tracks:
+            tracks[-1][ident] = whole(a, z)
         elif ident == CODEC_ID:
             info["codec"] = media[a:z].decode("ascii", "replace")
         elif ident == SAMPLING:
             info["rate"] = real(a, z)
         elif ident == BIT_DEPTH:
             info["bits"] = whole(a, z)
-        elif ident == CUE_TIME:
-            cue_time = whole(a, z)
-        elif ident == CUE_TRACK:
-            cue_track = whole(a, z)
-        elif ident == CUE_CLUSTER:
-            cues.append((cue_time, cue_track, whole(a, z)))
-    return out, cues, info
+        elif ident == CUE_POINT:
+            cues.append([0, 0, -1])
+        elif ident in (CUE_TIME, CUE_TRACK, CUE_CLUSTER) and cues:
+            cues[-1][(CUE_TIME, CUE_TRACK, CUE_CLUSTER).index(ident)] = whole(a, z)
+    spacing = {t.get(TRACK_NUMBER, 0): t.get(DEFAULT_DURATION, 0) for t in tracks}
+    for number_, at_time, at, z, cluster in blocks:
+        kind = media[at + 2] >> 1 & 3
+        for k, (s, n) in enumerate(unlace(kind, media, at + 3, z)):
+            out.append(Packet(number_, at_time * info["scale"] + k * spacing.get(number_, 0), s, n, kind, cluster))
+    return out, [(t, n, clusters.get(place, -1)) for t, n, place in cues], info
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -290,7 +307,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """A row for each packet of each file: track, timestamp, byte range, lacing, cluster and whether a cue names its cluster's time.
+    """A row for each packet of each file: track, timestamp, byte range, lacing, cluster and whether a cue points to its cluster at its time.
 
     Null or empty files have no packets; a damaged one raises, as its later bytes cannot be placed.
     """
@@ -300,8 +317,8 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
         out = []
         for b in files:
             table, cues, info = packets(bytes(b)) if b is not None and len(b) else ([], [], {"scale": 1})
-            at = {t * info["scale"] for t, _, _ in cues}
-            out.append([(p.track, p.time_ns, p.start, p.size, p.lacing, p.cluster, p.time_ns in at) for p in table])
+            at = {(n, c, t * info["scale"]) for t, n, c in cues}
+            out.append([(p.track, p.time_ns, p.start, p.size, p.lacing, p.cluster, (p.track, p.cluster, p.time_ns) in at) for p in table])
         return pd.Series(out)
 
     rows = bounded_batches(media).select(F.col(id_col).alias("doc_id"), F.explode(F.pandas_udf(run, f"array<struct<{', '.join(f'{k}:{v}' for k, v in map(str.split, one.split(', ')))}>>")(F.col(media_col))).alias("p"))

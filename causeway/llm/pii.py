@@ -212,7 +212,7 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = 50) -> Model:
             log = [np.log(rates[y, np.arange(N_LABELERS), v]).sum(1) + np.log(prior if y else 1 - prior) for y in (0, 1)]
             q = 1 / (1 + np.exp(np.clip(log[0] - log[1], -30, 30)))
         x = _encode([r[1] for r in mine], [r[2] for r in mine])
-        weight, w = np.minimum(n, 1e6) / n.sum() * len(n), np.zeros(x.shape[1])
+        weight, w = n / n.sum() * len(n), np.zeros(x.shape[1])
         for _ in range(500):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             w -= 0.5 * (x.T @ ((p - q) * weight) / len(n) + 1e-3 * w)

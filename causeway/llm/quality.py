@@ -153,15 +153,20 @@ def learn(x: np.ndarray, bad: np.ndarray, min_precision: float = 0.9, min_cover:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Rule]:
-    """Rules learnt from ``labels`` (an id column of the same name, ``quality`` 0/1/null) outside fold 0; none without labels."""
+    """Rules learnt from ``labels`` (an id column of the same name, ``quality`` 0/1/null) outside fold 0; none without labels.
+
+    An id that names several rows of ``docs`` counts once, with the least of their statistics; one with
+    several labels is of low quality if any says so.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & (fold(id_col) != 0))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("__quality"))
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(MAX_LABELLED)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id"), "left_semi")
     found = statistics(rows).join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
-    got = found.select("__quality", *STATISTICS, "n_words", F.xxhash64("doc_id").alias("h"), "doc_id").collect()  # as many rows as the sample has documents
-    got = sorted((tuple(r) for r in got if r["n_words"] > 0), key=lambda r: (r[-2], r[-1], r))
-    return learn(np.array([r[1:-3] for r in got], float).reshape(len(got), len(STATISTICS)), np.array([r[0] == 0 for r in got], bool))
+    one = found.where("n_words > 0").groupBy("doc_id").agg(F.min(F.struct("__quality", *STATISTICS)).alias("s"))
+    got = one.select("s.*", F.xxhash64("doc_id").alias("h"), "doc_id").collect()  # a row for each id of the sample
+    got = sorted((tuple(r) for r in got), key=lambda r: (r[-2], r[-1]))
+    return learn(np.array([r[1:-2] for r in got], float).reshape(len(got), len(STATISTICS)), np.array([r[0] == 0 for r in got], bool))
 
 
 def verdict(rules: list[Rule]) -> Column:
