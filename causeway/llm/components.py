@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import materialize
+from ._base import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     rounds grows with the logarithm of the longest path.  All tables stay distributed and
     are cut by a written table each round.  Minima are combined before the shuffle; joins
     meet written tables keyed by node, so that adaptive execution can split a root that
-    many nodes point to.  Nulls and self-loops add no edge; no edges give no rows.
+    many nodes point to.  The tables of a round go when the next one is written.  Nulls and self-loops add no edge; no edges give no rows.
     """
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     both = materialize(
@@ -27,6 +27,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         now = parent.agg(F.count("*"), F.sum(F.xxhash64("node", "p").cast("decimal(38,0)"))).first()
         if now == before:
+            discard(both)
             return parent.select("node", F.col("p").alias("root"))
         before = now
         offered = both.join(parent.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("p").alias("m")).withColumnRenamed("u", "node")
@@ -40,5 +41,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             "hooked",
         )
         grand = hooked.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-        parent = materialize(hooked.join(grand, "p").select("node", F.col("pp").alias("p")), "parents")
+        old, parent = parent, materialize(hooked.join(grand, "p").select("node", F.col("pp").alias("p")), "parents")
+        discard(old, hooked)
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

@@ -6,8 +6,10 @@ has a variant with one bit taken out that both share.  So every distinct fingerp
 indexed under 2 x 32 one-wildcard variants, an equality on the variant proposes links and
 the whole fingerprints verify them.
 
-Variants shared by more than ``MAX_BUCKET`` fingerprints, as a cloud of near copies makes
-them, would propose links by the square.  The fingerprints in these take an exact way that
+Most keys that are shared have two or three fingerprints; their pairs come out of the grouping
+itself, as the third is what the least and the greatest leave of the exclusive or of all.  Keys of
+up to ``max_bucket`` are joined pair by pair.  Variants shared by more, as a cloud of near copies
+makes them, would propose links by the square.  The fingerprints in these take an exact way that
 is linear: two fingerprints differ by at most 2 bits exactly if some 64-bit value differs
 from both by at most 1.  Each therefore goes under itself and its 64 one-bit neighbours,
 and all that share such a value are linked in a star, as all of these differ pairwise by at
@@ -17,6 +19,7 @@ most 2 bits.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,8 +34,11 @@ from .components import connected_components
 
 SHINGLE = 3
 MAX_BITS = 2
-#: More members than this make a variant take the linear way.
-MAX_BUCKET = 4
+#: More members than this make a variant take the linear way.  Keys have 31 bits and a place, so 3e10 distinct random
+#: fingerprints fill one on average: up to there it is crowds of near copies alone that exceed it.
+MAX_BUCKET = 16
+#: Nodes in a task before each is multiplied by its variants.
+NODES_A_TASK = 1 << 14
 _BLOCK = 1 << 15
 
 
@@ -86,24 +92,29 @@ def _close(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """``(a, b)`` edges between distinct fingerprints ``fp`` that join the same as all links within ``MAX_BITS`` do."""
-    variants = _variants(nodes)
-    shared = materialize(
-        variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variants"
-    )
-    pairs = shared.where("n = 2").where(_close("a", "b")).select("a", "b")
-    members = materialize(variants.join(shared.where("n > 2").select("key", "n").hint("merge"), "key"), "members")
-    few = members.where(F.col("n") <= MAX_BUCKET)
-    some = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b")
-    some = some.where(_close("a", "b")).select("a", "b")
-    near = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i)))
-    ball = materialize(members.where(F.col("n") > MAX_BUCKET).select("fp").distinct(), "crowded").select(
-        F.explode(F.concat(F.array("fp"), near)).alias("key"), "fp"
-    )
-    centre = ball.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    star = ball.join(centre, "key").where("fp > a").select("a", F.col("fp").alias("b"))
-    return pairs.union(some).union(star).distinct()
+    tasks = -(-nodes.count() // NODES_A_TASK)
+    variants = _variants(nodes.repartition(max(tasks, 1), "fp"))
+    whole = [F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.bit_xor("fp").alias("x")]
+    shared = materialize(variants.groupBy("key").agg(*whole).where("n > 1").withColumn("x", F.expr("x ^ a ^ b")), "variants")
+    two = F.array(F.struct("a", "b"))
+    three = F.array(F.struct("a", "b"), F.struct("a", F.col("x").alias("b")), F.struct(F.col("x").alias("a"), "b"))
+    pairs = shared.where("n <= 3").select(F.inline(F.when(F.col("n") == 2, two).otherwise(three))).where(_close("a", "b"))
+    found = [pairs]
+    crowded = shared.where("n > 3").select("key", "n")
+    if crowded.limit(1).count():
+        members = materialize(variants.join(crowded.hint("merge"), "key"), "members")
+        few = members.where(F.col("n") <= max_bucket)
+        some = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b")
+        near = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i)))
+        ball = materialize(members.where(F.col("n") > max_bucket).select("fp").distinct(), "crowded").select(
+            F.explode(F.concat(F.array("fp"), near)).alias("key"), "fp"
+        )
+        centre = ball.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+        star = ball.join(centre, "key").where("fp > a").select("a", F.col("fp").alias("b"))
+        found += [some.where(_close("a", "b")).select("a", "b"), star]
+    return reduce(DataFrame.union, found).distinct()
 
 
 def _classes(rows: DataFrame, edges: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -144,13 +155,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Components are those of ``near_duplicates``, or of ``similar`` where a ``similarity`` is given.
 
-    Rows without an id cannot be named as copies and stay.  An id that names several texts
-    stays if one of them is kept; rows that repeat both id and text are kept once.
+    Rows without an id cannot be named as copies and stay, all of them.  An id that names several texts
+    stays if one of them is kept; rows with an id that repeat both id and text are kept once.
     """
     found = near_duplicates(docs, id_col, text_col) if similarity is None else similar(docs, similarity, id_col, text_col)
-    found = found.groupBy("doc_id")
+    found = found.where("doc_id is not null").groupBy("doc_id")
     found = materialize(found.agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("keep"), F.count("*").alias("n")), "kept")
     gone = found.where("not keep").select(F.col("doc_id").alias("__gone_id"))
     kept = docs.join(gone.hint("merge"), F.col(id_col) == F.col("__gone_id"), "left_anti")
-    repeated = found.where("doc_id is not null and n > 1").limit(1).count()
-    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
+    if not found.where("n > 1").limit(1).count():
+        return kept
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(kept.where(F.col(id_col).isNull()))

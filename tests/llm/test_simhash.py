@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -67,7 +68,8 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def test_links_give_all_components(spark):
+@pytest.mark.parametrize("max_bucket", [3, simhash.MAX_BUCKET, 10**6])
+def test_links_give_all_components(spark, max_bucket):
     rng = random.Random(1)
     fps = set()
     for _ in range(20):
@@ -81,7 +83,7 @@ def test_links_give_all_components(spark):
     fps |= {crowd ^ 1 << i ^ 1 << j for i in range(32) for j in range(i)}  # one segment shared by hundreds
     fps = sorted(fps)
     frame = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
-    found = {r["node"]: r["root"] for r in connected_components(simhash.links(frame)).collect()}
+    found = {r["node"]: r["root"] for r in connected_components(simhash.links(frame, max_bucket)).collect()}
     want = brute_components([(signed(x), x) for x in fps])
     by = {}
     for i, _, c in want:
@@ -104,3 +106,11 @@ def test_deduplicate_keeps_one_of_each_group(docs, odd):
         kept = simhash.deduplicate(frame)
         assert kept.columns == frame.columns
         assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted(classes)
+
+
+def test_rows_without_an_id_stay(spark):
+    for more in ([], [(5, "p q r"), (5, "p q r")]):
+        frame = spark.createDataFrame([(None, "x y z"), (None, "x y z"), *more], "doc_id long, text string")
+        for similarity in (None, 0.8):
+            got = sorted(map(tuple, simhash.deduplicate(frame, similarity=similarity).collect()), key=str)
+            assert got == sorted([(None, "x y z"), (None, "x y z"), *more[:1]], key=str)
