@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import minhash
-from ._base import bounded_batches, materialize
+from ._base import bounded_batches, discard, materialize
 from .components import connected_components
 
 SHINGLE = 3
@@ -124,7 +124,9 @@ def _classes(rows: DataFrame, edges: Callable[[DataFrame], DataFrame]) -> DataFr
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     linked = materialize(linked, "linked")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    return materialize(linked.join(least, "root").select("fp", "component_id"), "classes")
+    out = materialize(linked.join(least, "root").select("fp", "component_id"), "classes")
+    discard(nodes, linked)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,7 +149,10 @@ def similar(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col
     Texts without words, null ones too, are copies of each other.
     """
     rows = materialize(minhash.signatures(docs, id_col, text_col), "signatures")
-    return rows.select("doc_id", "fp").join(_classes(rows, lambda _: minhash.links(rows, similarity)), "fp", "left").select("doc_id", "component_id")
+    slim = materialize(rows.select("doc_id", "fp"), "fingerprints")
+    classes = _classes(slim, lambda _: minhash.links(rows, similarity))
+    discard(rows)
+    return slim.join(classes, "fp", "left").select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
