@@ -6,14 +6,17 @@ it; where that corrected part turns negative the classifier is fitting U's hidde
 and the step goes the other way (the non-negative estimator).
 
 Features are words (lower case, without surrounding punctuation) and their prefixes of
-4 to 6 characters, present or absent.  The corpus-side work is distributed: the two samples
-are featurised on executors, features are counted and ranked by Spark, and the driver gets
-the chosen features of the two bounded samples.  Labels are read only from rows of folds
-other than 0; the score of a text depends on the text alone.
+4 to 6 characters, present or absent.  The corpus-side work is distributed: features of the
+confirmed texts are the candidates, and in how many texts each occurs is counted over all texts,
+added up by task before the shuffle.  Only the gradient steps see a bounded sample: the driver gets
+the chosen features of ``MAX_POSITIVE`` confirmed and ``MAX_UNLABELLED`` other texts.  Labels are read only
+from rows of folds other than 0; the score of a text depends on the text alone.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import bounded_batches, fold, materialize
+from ._base import bounded_batches, discard, fold, materialize
 
-#: Bounds of the two training samples, in rows, taken by the least hash of the id.
+#: Bounds of the two samples that the gradient steps see, in rows, taken by the least hash of the id.
 MAX_POSITIVE, MAX_UNLABELLED = 4096, 8192
-#: Features kept, ranked by how much more of P than of U they are in, in standard errors, and the least of that.
+#: A candidate occurs in as many confirmed texts.
+MIN_SEEN = 5
+#: Features kept, ranked by how much more of P than of all texts they are in, in standard errors, and the least of that.
 #: Features of U alone are left out: thousands of small negative weights would hide one toxic phrase in a long text.
 MAX_FEATURES, MIN_LIFT = 4096, 4.0
 PREFIXES = (4, 5, 6)
@@ -113,32 +118,70 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from ``labels`` (an id column of the same name, ``toxic`` 0/1/null) of folds other than 0.
 
     Without a positive (no labels, an empty table) the model gives every text the score 0
-    rounded up by the sigmoid's clip, as nothing can be learnt.  Null ids and texts are left out.
+    rounded up by the sigmoid's clip, as nothing can be learnt.  Null ids and texts are left out; of an id that
+    names several texts one counts in the samples.
     """
     known = labels.where(F.col(id_col).isNotNull() & (fold(id_col) != 0) & F.col("toxic").isNotNull())
     seen = known.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("k")).first()
     prior = min(max((seen["k"] or 0) / max(seen["n"], 1), 1e-3), 0.9)
     ranked = [F.xxhash64("id"), F.col("id")]
     pos = known.where("toxic = 1").select(F.col(id_col).alias("id")).distinct().orderBy(*ranked).limit(MAX_POSITIVE).withColumn("p", F.lit(1))
-    ids = docs.where(F.col(id_col).isNotNull() & (fold(id_col) != 0)).select(F.col(id_col).alias("id")).distinct()
-    un = ids.orderBy(*ranked).limit(MAX_UNLABELLED).withColumn("p", F.lit(0))
-    texts = bounded_batches(docs).where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    sample = materialize(texts.join(F.broadcast(pos.union(un)), "id").select("id", "p", _features("t").alias("f")), "features")
+    rest = docs.where(F.col(id_col).isNotNull() & (fold(id_col) != 0))
+    un = rest.select(F.col(id_col).alias("id")).distinct().orderBy(*ranked).limit(MAX_UNLABELLED).withColumn("p", F.lit(0))
+    texts = bounded_batches(rest).where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    sample = texts.join(F.broadcast(pos.union(un)), "id").select("id", "p", _features("t").alias("f"))
+    sample = materialize(sample.groupBy("id", "p").agg(F.min("f").alias("f")), "features")
     size = {r["p"]: r["n"] for r in sample.groupBy("p").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = size.get(1, 0), size.get(0, 0)
     if not n_p or not n_u:
         return Model(-30.0, {}, prior, n_p, n_u)
-    by = sample.select("p", F.explode("f").alias("f")).groupBy("f").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b"))
-    rate_p, rate_u = F.col("a") / n_p, F.col("b") / n_u
-    lift = (rate_p - rate_u) / F.sqrt((F.col("a") + F.col("b") + 1) / (n_p + n_u) * (1 / n_p + 1 / n_u))
-    chosen = [r["f"] for r in by.where("a + b >= 5").where(lift >= MIN_LIFT).orderBy(lift.desc(), "f").limit(MAX_FEATURES).select("f").collect()]
+    seen = sample.where("p = 1").select(F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("a")).where(F.col("a") >= MIN_SEEN)
+    seen = {r["f"]: r["a"] for r in seen.collect()}  # bounded by the sample of confirmed texts
+    every = {r["f"]: r["n"] for r in frequencies(texts, frozenset(seen)).collect()}  # a row for each candidate
+    n_all = every.pop(_TEXTS, 0)
+
+    def lift(f: int) -> float:
+        a, b = seen[f], every.get(f, 0)
+        return (a / n_p - b / n_all) / ((a + b + 1) / (n_p + n_all) * (1 / n_p + 1 / n_all)) ** 0.5
+
+    chosen = sorted((f for f in seen if lift(f) >= MIN_LIFT), key=lambda f: (-lift(f), f))[:MAX_FEATURES]
     index = {f: i for i, f in enumerate(chosen)}
     kept = F.array_intersect("f", F.array(*map(F.lit, chosen))) if chosen else F.array().cast("array<bigint>")
     rows = sample.select("id", "p", kept.alias("f")).orderBy("p", "id").collect()
+    discard(sample)
     bias, w = train([np.array([index[f] for f in r["f"]], np.int64) for r in rows], np.array([r["p"] == 1 for r in rows]), len(chosen), prior)
     return Model(bias, {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-6}, prior, n_p, n_u)
 
 
+#: Stands for the number of texts among the features' counts.
+_TEXTS = -1
+
+
+def frequencies(texts: DataFrame, candidates: frozenset[int]) -> DataFrame:
+    """``(f, n)``: in how many of the texts ``t`` each candidate occurs, and how many texts there are under -1.
+
+    A task adds up its own texts, so it sends a row for each candidate at most.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, known = Counter(), {}
+        for frame in frames:
+            counts[_TEXTS] += len(frame)
+            for t in frame["t"]:
+                here: set[int] = set()
+                for w in set(t.lower().split()):
+                    found = known.get(w)
+                    if found is None:
+                        if len(known) >= _REMEMBERED:
+                            known.clear()
+                        found = known[w] = [f for f in features(w) if f in candidates]
+                    here.update(found)
+                counts.update(here)
+        yield pd.DataFrame({"f": list(counts), "n": list(counts.values())}, dtype="int64")
+
+    return texts.select("t").mapInPandas(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, score, predicted)``, a row for each row of ``docs``.
 
