@@ -1,8 +1,8 @@
-"""Green fields of candidate edges: ``Replay`` over the layers of each window.
+"""Green fields of candidate edges: a ``Scorer`` over the layers of each window.
 
 The state before a row is a function of the rows before it, so candidates are independent of
-each other given the edges.  Work is dealt by window, layer and slice: a slice replays the
-window's edges of its layer and solves its own candidates.  Windows are independent (cold
+each other given the edges.  Work is dealt by window, layer and slice: a slice lays out the
+window's edges of its layer as arrays and solves its own candidates.  Windows are independent (cold
 start) and of a fixed number of rows, which bounds a group; without a window column the graph
 is one, and the slices alone spread the solves.
 """
@@ -14,14 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.operators.kernel import FieldConfig, Replay
+from causeway.operators.kernel import FieldConfig, Scorer
 from causeway.spec import TransactionSpec
 
 
-def fields(e: DataFrame, spec: TransactionSpec, config: FieldConfig, slices: int = 4, score_from: int | None = None, score_to: int | None = None) -> DataFrame:
+def fields(e: DataFrame, spec: TransactionSpec, config: FieldConfig, slices: int = 2, score_from: int | None = None, score_to: int | None = None) -> DataFrame:
     """``([window], row_ord, t, layer, <config.columns()>)`` of each edge, or of those with rank in ``[score_from, score_to)``.
 
-    Rows outside that range still build the state (a warm start).
+    Rows outside that range still build the state (a warm start).  Only rows before a slice's last candidate bear on it;
+    the edges travel once for each of the ``slices``.
     """
     names = config.columns()
     keep = spec.keys()
@@ -29,27 +30,14 @@ def fields(e: DataFrame, spec: TransactionSpec, config: FieldConfig, slices: int
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([time, order], kind="stable")
-        replay = Replay(config)
         mine = ((frame[order] % slices) == frame["__slice"].iloc[0]).to_numpy()
         if score_from is not None:
             mine &= (frame[order] >= score_from).to_numpy()
         if score_to is not None:
             mine &= (frame[order] < score_to).to_numpy()
-        t, o = frame[time].to_numpy(), frame[order].to_numpy()
-        a, b = frame["a"].tolist(), frame["b"].tolist()
-        y = [None if v is None or v != v else int(v) for v in frame[label].tolist()]
-        out, at = [], []
-        bounds = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            now = int(t[lo])
-            replay.advance(now)
-            for i in range(lo, hi):
-                if mine[i]:
-                    out.append(replay.score(now, a[i], b[i]))
-                    at.append(i)
-            for i in range(lo, hi):
-                replay.commit(now, int(o[i]), a[i], b[i], y[i])
-        found = pd.DataFrame(np.array(out).reshape(len(at), len(names)), columns=names)
+        at = np.flatnonzero(mine)
+        scorer = Scorer(config, frame[time].to_numpy(), frame["a"].to_numpy(object), frame["b"].to_numpy(object), frame[label].to_numpy(float))
+        found = pd.DataFrame(scorer.run(at), columns=names)
         head = frame.iloc[at][[*keep, order, time, "layer"]].reset_index(drop=True)
         return pd.concat([head, found], axis=1)
 
