@@ -2,72 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.operators.cumulate import before
 from causeway.spec import TransactionSpec
 
 
-def released(spec: TransactionSpec, keys: list[str], delay: int, inclusive: bool = False) -> WindowSpec:
-    """Rows of the same keys with ``time + delay < now`` (``<=`` if inclusive); ties never see each other."""
-    return Window.partitionBy(*keys).orderBy(spec.time).rangeBetween(Window.unboundedPreceding, -delay - (0 if inclusive else 1))
-
-
-def released_totals(e: DataFrame, spec: TransactionSpec, keys: list[str], delays: list[int], names: tuple[str, str]) -> DataFrame:
-    """``(keys..., t, <n>_<i>, <f>_<i>)`` for each time at which a key occurs: what was released of it before then.
-
-    Rows of one time are added up first.  Releases (at time + delay) and questions (at time) are
-    then cumulated in two levels: within a tick (a day), and over the totals of the ticks before.
-    A key with a third of all rows is so dealt over as many tasks as it has ticks, and what is
-    cumulated in one task is a row for each tick.
-    """
-    by = e.groupBy(*keys, spec.time).agg(F.count(spec.label).alias("n"), F.coalesce(F.sum(spec.label), F.lit(0)).alias("f"))
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).cast("bigint").alias("d")) for i, d in enumerate(delays)])).alias("x")
-    rows = by.select(*keys, spec.time, "n", "f", each)
-    none = F.lit(0).cast("bigint")
-    asked = rows.select(*keys, "x.i", F.col(spec.time).alias("at"), F.lit(0).alias("release"), none.alias("n"), none.alias("f"))
-    given = rows.select(*keys, "x.i", (F.col(spec.time) + F.col("x.d")).alias("at"), F.lit(1).alias("release"), "n", "f")
-    both = asked.union(given).withColumn("tick", F.floor(F.col("at") / spec.tick))
-    group = [*keys, "i"]
-    before = Window.partitionBy(*group).orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)
-    ticks = both.groupBy(*group, "tick").agg(F.sum("n").alias("n0"), F.sum("f").alias("f0"))
-    ticks = ticks.select(*group, "tick", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("n0", "f0")])
-    # At one instant questions come before releases: release is strict.
-    inside = Window.partitionBy(*group, "tick").orderBy("at", "release").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = both.withColumns({c: F.sum(c).over(inside) for c in ("n", "f")}).where("release = 0").join(ticks, [*group, "tick"])
-    pick = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c) + F.col(f"{c}0")))
-    out = [pick(c, i).alias(f"{name}_{i}") for i in range(len(delays)) for c, name in zip(("n", "f"), names, strict=True)]
-    return sums.groupBy(*keys, F.col("at").alias(spec.time)).agg(*out)
+def _counts(delays: list[int], names: tuple[str, str]) -> dict[str, tuple[str, str, int]]:
+    return {f"{name}_{i}": ("sum", c, d) for i, d in enumerate(delays) for c, name in zip(("__n", "__f"), names, strict=True)}
 
 
 def global_rates(e: DataFrame, spec: TransactionSpec, delays: list[int]) -> DataFrame:
     """``(layer, t, global_n_<i>, global_f_<i>)`` for each time that occurs; a transaction counts once in a layer."""
-    return released_totals(e, spec, spec.keys("layer"), delays, ("global_n", "global_f"))
+    keys = spec.keys("layer")
+    by = e.groupBy(*keys, spec.time).agg(F.count(spec.label).alias("__n"), F.coalesce(F.sum(spec.label), F.lit(0)).alias("__f"))
+    return before(by, spec, keys, _counts(delays, ("global_n", "global_f"))).drop("__n", "__f")
 
 
-def history(e: DataFrame, ends: DataFrame, spec: TransactionSpec, delays: list[int], recent: int | None = None, split: bool = False) -> DataFrame:
+def history(e: DataFrame, ends: DataFrame, spec: TransactionSpec, delays: list[int], recent: int | None = None) -> DataFrame:
     """Endpoint rows with ``n_<i>, f_<i>`` (released count and positives), ``rate_<i>`` (the layer's, 0 if none), and ``recent_<i>``.
 
+    A label is released once ``time + delay < now``; rows of one time never see each other.
     ``recent_<i>`` counts releases within ``recent`` before now, by release time, as the
-    difference of two growing frames over one sort.  ``split`` takes the counts from
-    ``released_totals``, for nodes with so many rows that one task should not hold them.
+    difference of two growing frames over one sort.
     """
     keys = spec.keys("layer", "node")
-    if split:
-        asked = [*delays, *([d + recent for d in delays] if recent is not None else [])]
-        totals = released_totals(ends, spec, keys, asked, ("n", "f"))
-        if recent is not None:
-            k = len(delays)
-            totals = totals.withColumns({f"recent_{i}": F.col(f"n_{i}") - F.col(f"n_{i + k}") for i in range(k)}).drop(*[f"{x}_{i + k}" for x in "nf" for i in range(k)])
-        return _with_rates(ends.join(totals, [*keys, spec.time]), e, spec, delays)
-    cols: dict[str, Column] = {}
-    for i, d in enumerate(delays):
-        w = released(spec, keys, d)
-        cols[f"n_{i}"] = F.count(spec.label).over(w)
-        cols[f"f_{i}"] = F.coalesce(F.sum(spec.label).over(w), F.lit(0))
-        if recent is not None:
-            cols[f"recent_{i}"] = F.count(spec.label).over(w) - F.count(spec.label).over(released(spec, keys, d + recent))
-    return _with_rates(ends.withColumns(cols), e, spec, delays)
+    wants = _counts(delays, ("n", "f"))
+    if recent is not None:
+        wants |= {f"__old_{i}": ("sum", "__n", d + recent) for i, d in enumerate(delays)}
+    label = F.col(spec.label)
+    rows = before(ends.withColumns({"__n": label.isNotNull().cast("bigint"), "__f": F.coalesce(label, F.lit(0))}), spec, keys, wants).drop("__n", "__f")
+    if recent is not None:
+        rows = rows.withColumns({f"recent_{i}": F.col(f"n_{i}") - F.col(f"__old_{i}") for i in range(len(delays))}).drop(*[f"__old_{i}" for i in range(len(delays))])
+    return _with_rates(rows, e, spec, delays)
 
 
 def _with_rates(rows: DataFrame, e: DataFrame, spec: TransactionSpec, delays: list[int]) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from causeway.functions import scalar
 from causeway.operators import assemble, audit, edges, green, history, temporal
-from causeway.operators.kernel import FieldConfig, Replay
+from causeway.operators.cumulate import before
+from causeway.operators.kernel import FieldConfig
 from causeway.sources import sinks, tables
 from causeway.spec import DAY, TransactionSpec
 
@@ -83,14 +84,6 @@ def test_fields_do_not_depend_on_slices_or_partitions(spark):
     assert a == b and len(a) == len(rows)
     warm = green.fields(e, SPEC, config, 3, score_from=50, score_to=60).collect()
     assert sorted(tuple(r) for r in warm) == [r for r in a if 50 <= r[0] < 60]
-    r, want = Replay(config), {}
-    for t in sorted({x[1] for x in rows}):
-        r.advance(t)
-        for x in (x for x in rows if x[1] == t):
-            want[x[0]] = r.score(t, f"card={x[3]}", f"addr={x[4]}")
-        for x in (x for x in rows if x[1] == t):
-            r.commit(t, x[0], f"card={x[3]}", f"addr={x[4]}", x[2])
-    assert all(list(x[3:]) == pytest.approx(want[x[0]], nan_ok=True) for x in a)
 
 
 def test_windows_are_independent(spark):
@@ -101,14 +94,39 @@ def test_windows_are_independent(spark):
     assert [got[k] for k in range(1, 9)] == [0, 1, 2, 3, 0, 1, 2, 3]
 
 
-def test_split_nodes_have_the_same_history(spark):
+@pytest.mark.parametrize("delays", [(0,), (0, DAY // 2, 40 * DAY), (3 * DAY,)])
+def test_sums_before_now_in_blocks(spark, delays):
+    """Rows over many blocks, ties, rows that only count, against all pairs."""
+    rows = [(i, (i * i) % 97 * 3 * DAY + (i % 5) * DAY // 2, f"c{i % 3 if i % 4 else 0}", i % 7, i % 6 > 0) for i in range(1, 250)]
+    df = spark.createDataFrame(rows, "row_ord long, t long, node string, x long, asked boolean")
+    wants = {f"s{k}": ("sum", "x", d) for k, d in enumerate(delays)} | {"top": ("max", "x", 0)}
+    got = {r["row_ord"]: tuple(r[w] for w in wants) for r in before(df, SPEC, ["node"], wants, F.col("asked")).collect()}
+    want = {}
+    for i, t, v, _, asked in rows:
+        if asked:
+            past = lambda d: [r[3] for r in rows if r[2] == v and r[1] + d < t]  # noqa: B023, E731
+            want[i] = (*(sum(past(d)) for d in delays), max(past(0), default=None))
+    assert got == want
+
+
+def test_history_of_labels_that_are_missing(spark):
     rows = [(i, (i * i) % 97 * 5000, None if i % 13 == 0 else i % 2, f"c{i % 3 if i % 4 else 0}", f"a{i % 5}", 1.0) for i in range(1, 200)]
     e = edges.edges(frame(spark, rows), SPEC)
-    ends = edges.endpoints(e, SPEC)
-    whole, split = (history.history(e, ends, SPEC, [0, DAY // 2, 3 * DAY], DAY, split=x) for x in (False, True))
-    cols = sorted(whole.columns)
-    assert sorted(split.columns) == cols
-    assert sorted(map(str, whole.select(*cols).collect())) == sorted(map(str, split.select(*cols).collect()))
+    for r in history.history(e, edges.endpoints(e, SPEC), SPEC, [0, DAY // 2, 3 * DAY], DAY).collect():
+        k = 3 if r["side"] == "left" else 4
+        for i, d in enumerate((0, DAY // 2, 3 * DAY)):
+            out = [x for x in rows if x[2] is not None and x[1] + d < r["t"]]
+            mine = [x for x in out if f"{('card', 'addr')[k - 3]}={x[k]}" == r["node"]]
+            assert (r[f"n_{i}"], r[f"f_{i}"]) == (len(mine), sum(x[2] for x in mine)) and r[f"recent_{i}"] == sum(x[1] + d >= r["t"] - DAY for x in mine)
+            assert r[f"rate_{i}"] == pytest.approx(sum(x[2] for x in out) / len(out) if out else 0.0)
+
+
+def test_amounts_that_are_no_numbers(spark):
+    """A null amount counts as 0; NaN makes later means of its nodes missing, and theirs alone."""
+    rows = [(1, 1, 0, "a", "x", None), (2, 2, 0, "a", "y", float("nan")), (3, 3, 0, "a", "z", 5.0), (4, 4, 0, "b", "x", 5.0), (5, 5, 0, "b", "y", 1.0)]
+    f = {r["row_ord"]: r for r in temporal.features(edges.edges(frame(spark, rows), SPEC), SPEC).collect()}
+    assert [f[k]["amount_mean_a"] for k in (1, 2, 3)] == [None, 0.0, None]
+    assert (f[4]["amount_mean_b"], f[5]["amount_mean_b"], f[5]["amount_mean_a"]) == (0.0, None, pytest.approx(1.791759469228055))
 
 
 def test_row_order_and_split(spark):
