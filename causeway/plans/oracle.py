@@ -196,7 +196,7 @@ SELECT count(*) AS times, CAST(sum(CAST(n > 1 AS INTEGER)) AS BIGINT) AS tied_ti
     "placebo_labels": f"""WITH {_TX}, z AS (SELECT row_ord, label, (row_ord - 1) // 10000 AS "window" FROM tx), a AS (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY row_ord) AS k FROM z),
 b AS (SELECT label, "window", row_number() OVER (PARTITION BY "window" ORDER BY md5('17:' || row_ord), row_ord) AS k FROM z) SELECT a.row_ord, a."window", CAST(b.label AS BIGINT) AS label FROM a JOIN b ON a."window" = b."window" AND a.k = b.k""",
     "warm_and_cold": f"WITH {_ends(['cust--brand'])}, z AS (SELECT *, (row_ord - 1) // 10000 AS win FROM ends) SELECT row_ord, side, count(label) {_frame('node', 1)} AS warm, count(label) {_frame('node, win', 1)} AS cold FROM z",
-    "bipartite_pairs": f"WITH {_BIP.format(cap=60)} SELECT step, count(*) AS edges, count(DISTINCT tx) AS txs, count(DISTINCT a) AS inputs, count(DISTINCT b) AS outputs FROM pairs GROUP BY step",
+    "bipartite_pairs": f"WITH {_BIP.format(cap=200)} SELECT step, count(*) AS edges, count(DISTINCT tx) AS txs, count(DISTINCT a) AS inputs, count(DISTINCT b) AS outputs FROM pairs GROUP BY step",
     "addr_history": f"""WITH {_BIP.format(cap=200)}, v AS (SELECT touch.tx, st.n, (f + 5 * p0) / (st.n + 5) AS h FROM touch JOIN st USING (address, step) JOIN prior USING (step)),
 a AS (SELECT tx, avg(h) AS m, max(h) AS x, min(h) AS i, stddev_pop(h) AS d, sum(n) AS ns, max(n) AS nx, count(*) AS c FROM v GROUP BY tx)
 SELECT tx.tx, {r('coalesce(m, p0)', 'ell_h_mean')}, {r('coalesce(x, p0)', 'ell_h_max')}, {r('coalesce(i, p0)', 'ell_h_min')}, {r('coalesce(d, 0)', 'ell_h_std')}, {r('p0', 'ell_prior_rate')}, CAST(coalesce(ns, 0) AS BIGINT) AS ell_addr_n_sum, CAST(coalesce(nx, 0) AS BIGINT) AS ell_addr_n_max, CAST(coalesce(c, 0) AS BIGINT) AS ell_endpoint_count

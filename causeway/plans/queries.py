@@ -122,8 +122,7 @@ def _radius_zero(spark, d, delays=(0,), alpha=5):
     e, h = _history(spark, d, delays)
     h = history.field_h(h, 0, alpha)
     both = history.both_sides(h, LINES, ["H", "H_raw", "n_0", "exposure_log"])
-    pair = Window.partitionBy("layer", "a", "b").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    w = e.select("row_ord", "t", "layer", F.count("*").over(pair).alias("w"))
+    w = temporal.pair_state(e, LINES).select("row_ord", "t", "layer", F.col("count_ab").alias("w"))
     return green.radius_zero(both.join(w, ["row_ord", "t", "layer"]), 0.1, float(alpha))
 
 
@@ -286,7 +285,7 @@ def warm_and_cold(spark, d):
 
 
 def bipartite_pairs(spark, d):
-    p = address.pairs(*tables.bipartite(spark, d), 60)
+    p = address.pairs(*tables.bipartite(spark, d))
     return p.groupBy("step").agg(F.count("*").alias("edges"), F.countDistinct("tx").alias("txs"), F.countDistinct("a").alias("inputs"), F.countDistinct("b").alias("outputs"))
 
 
