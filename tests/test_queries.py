@@ -2,6 +2,8 @@
 
 import glob
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -50,3 +52,10 @@ def test_graph_queries_have_the_default_caps():
     from causeway.plans import queries as q
 
     assert (q.FIELDS.cap, q.BOUNDED.cap, q.BOUNDED.fallback_cap, q.ADDRESS_CAP) == (100, 100, 30, 50)
+
+
+@pytest.mark.parametrize("missing", ["causeway.llm", "corpus_pipeline", "public_tokenizers", "tiktoken"])
+def test_entry_without_what_the_corpus_needs(missing, tmp_path):
+    """The event queries stay when the corpus subpackage, or a library that only it imports, cannot be imported."""
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; assert set(e.queries()) == set(e.plans.QUERIES) >= set(e.oracle_sql())"
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(__file__)), check=True)
