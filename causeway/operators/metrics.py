@@ -1,7 +1,8 @@
 """Ranking and calibration metrics of scores, for any number of groups at once, by windows.
 
 All take ``(keys..., y, score, order)``; ties at a cut-off are taken in the order of ``order``.
-Cumulative counts run over distinct scores, after rows of one score are added up.
+Cumulative counts run over distinct scores, after rows of one score are added up.  Without keys
+there is one group, which may be a whole table: its running sums are taken in two levels.
 """
 
 from __future__ import annotations
@@ -12,10 +13,46 @@ from pyspark.sql import functions as F
 BUDGETS = (0.005, 0.01, 0.02, 0.05)
 
 
+#: Parts of the range of a value into which a group without keys is cut.
+BUCKETS = 64
+
+
+def running(df: DataFrame, keys: list[str], value: str, sums: dict[str, str], descending: bool = False, then: str | None = None) -> DataFrame:
+    """``df`` with ``out``, for each ``out: column``: the sum of the column up to and with a row, in the order of ``value`` then ``then``.
+
+    Groups of ``keys`` are windows.  Without keys, rows are cut at quantiles of the value into ``BUCKETS`` parts that are windows of
+    their own, and the parts' totals, a row each, are added up before.
+    """
+    order = [F.desc(value) if descending else F.asc(value), *([F.asc(then)] if then else [])]
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({out: F.sum(c).over(w) for out, c in sums.items()})
+    cuts = df.agg(F.percentile_approx(value, [k / BUCKETS for k in range(1, BUCKETS)], 1000)).first()[0] or []
+    bucket = F.lit(0)
+    for c in sorted(set(cuts)):
+        bucket = bucket + (F.col(value) > F.lit(c)).cast("int")
+    rows = df.withColumn("__bucket", F.coalesce(-bucket if descending else bucket, F.lit(1 if descending else -1)))
+    totals = rows.groupBy("__bucket").agg(*[F.sum(c).alias(f"__b_{out}") for out, c in sums.items()])
+    earlier = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shift = totals.select("__bucket", *[F.coalesce(F.sum(f"__b_{out}").over(earlier), F.lit(0)).alias(f"__b_{out}") for out in sums])
+    w = Window.partitionBy("__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = rows.withColumns({f"__i_{out}": F.sum(c).over(w) for out, c in sums.items()})
+    out = inside.join(F.broadcast(shift), "__bucket")  # a row for each part
+    return out.withColumns({o: F.col(f"__i_{o}") + F.col(f"__b_{o}") for o in sums}).drop("__bucket", *[f"__{x}_{o}" for o in sums for x in "ib"])
+
+
+def totals(df: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:
+    """``df`` with the sums of columns over its group; without keys, numbers from one aggregation."""
+    if keys:
+        return df.withColumns({out: F.sum(c).over(Window.partitionBy(*keys)) for out, c in sums.items()})
+    got = df.agg(*[F.sum(c).alias(out) for out, c in sums.items()]).first()
+    kind = dict(df.agg(*[F.sum(c).alias(out) for out, c in sums.items()]).dtypes)
+    return df.withColumns({out: F.lit(got[out]).cast(kind[out]) for out in sums})
+
+
 def precision_at(df: DataFrame, keys: list[str], budgets: list[float] = BUDGETS, ceil: bool = False, counts: list[int] = (), y: str = "y", score: str = "score", order: str = "order") -> DataFrame:
     """``(keys..., budget, k, precision, recall)``: of the k best; k is at least 1, ``n * budget`` with floor or ceil, or a given count. Recall is null without positives."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumns({"__r": F.row_number().over(w.orderBy(F.desc(score), order)), "__n": F.count("*").over(w), "__p": F.sum(y).over(w)})
+    ranked = running(totals(df.withColumn("__one", F.lit(1)), keys, {"__n": "__one", "__p": y}), keys, score, {"__r": "__one"}, True, order)
     cut = F.ceil if ceil else F.floor
     wanted = [F.struct(F.lit(float(b)).alias("budget"), F.greatest(F.lit(1), cut(F.round(F.col("__n") * float(b), 9))).cast("bigint").alias("k")) for b in budgets]
     wanted += [F.struct(F.lit(float(c)).alias("budget"), F.least(F.lit(c), F.col("__n")).cast("bigint").alias("k")) for c in counts]
@@ -27,9 +64,7 @@ def precision_at(df: DataFrame, keys: list[str], budgets: list[float] = BUDGETS,
 def curve(df: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
     """``(keys..., score, pos, neg, tp, fp, P, N)`` of each distinct score, best first."""
     by = df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(y).cast("double").alias("pos"), F.sum(1 - F.col(y)).cast("double").alias("neg"))
-    w = Window.partitionBy(*keys)
-    run = w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return by.withColumns({"tp": F.sum("pos").over(run), "fp": F.sum("neg").over(run), "P": F.sum("pos").over(w), "N": F.sum("neg").over(w)})
+    return running(totals(by, keys, {"P": "pos", "N": "neg"}), keys, "score", {"tp": "pos", "fp": "neg"}, True)
 
 
 def ranking(df: DataFrame, keys: list[str], max_fpr: float = 0.005, y: str = "y", score: str = "score") -> DataFrame:
@@ -52,7 +87,10 @@ def calibration_bins(df: DataFrame, keys: list[str], bins: int = 10, equal: str
     if equal == "width":
         rows = df.withColumn("bin", F.least(F.greatest(F.floor(F.col(score) * bins), F.lit(0)), F.lit(bins - 1)).cast("int"))
     else:
-        rows = df.withColumn("bin", F.ntile(bins).over(Window.partitionBy(*keys).orderBy(score, order)) - 1)
+        rows = running(totals(df.withColumn("__one", F.lit(1)), keys, {"__n": "__one"}), keys, score, {"__r": "__one"}, False, order)
+        size, more, k = F.floor(F.col("__n") / bins), F.col("__n") % bins, F.col("__r") - 1
+        long = more * (size + 1)
+        rows = rows.withColumn("bin", F.when(k < long, F.floor(k / (size + 1))).otherwise(more + F.floor((k - long) / F.greatest(size, F.lit(1)))).cast("int"))
     return _ece(rows, keys, y, score)
 
 
@@ -82,8 +120,7 @@ def evaluate(df: DataFrame, keys: list[str], **names: str) -> DataFrame:
 
 def top_tail(df: DataFrame, keys: list[str], budgets: list[float] = BUDGETS, y: str = "y", score: str = "score", order: str = "order") -> DataFrame:
     """``(keys..., budget, k, mean_score, rate, gap, ratio)``: how the best ranked are calibrated."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumns({"__r": F.row_number().over(w.orderBy(F.desc(score), order)), "__n": F.count("*").over(w)})
+    ranked = running(totals(df.withColumn("__one", F.lit(1)), keys, {"__n": "__one"}), keys, score, {"__r": "__one"}, True, order)
     wanted = [F.struct(F.lit(float(b)).alias("budget"), F.greatest(F.lit(1), F.floor(F.round(F.col("__n") * float(b), 9))).cast("bigint").alias("k")) for b in budgets]
     rows = ranked.select(*keys, y, score, "__r", F.explode(F.array(*wanted)).alias("b")).where("__r <= b.k")
     by = rows.groupBy(*keys, F.col("b.budget").alias("budget"), F.col("b.k").alias("k")).agg(F.avg(score).alias("mean_score"), F.avg(F.col(y).cast("double")).alias("rate"))
@@ -96,3 +133,16 @@ def by_masks(df: DataFrame, keys: list[str], masks: dict[str, object], least: in
     ok = rows.groupBy(*keys, "cohort").agg(F.count("*").alias("rows"), F.sum(y).alias("positives")).where(f"rows >= {least} and positives > 0 and positives < rows")
     scored = rows.join(ok.select(*keys, "cohort"), [*keys, "cohort"], "left_semi")
     return ok.join(ranking(scored, [*keys, "cohort"], y=y, **{k: v for k, v in names.items() if k == "score"}), [*keys, "cohort"])
+
+
+def safe_evaluate(df: DataFrame, keys: list[str], least: int = 20, y: str = "y", **names: str) -> DataFrame:
+    """``evaluate`` of the groups that have ``least`` rows and both classes; the others are left out."""
+    ok = df.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(y).alias("positives")).where(f"rows >= {least} and positives > 0 and positives < rows")
+    if not keys:
+        return evaluate(df, keys, y=y, **names) if ok.limit(1).count() else evaluate(df.limit(0), keys, y=y, **names).limit(0)
+    return ok.join(evaluate(df.join(ok.select(*keys), keys, "left_semi"), keys, y=y, **names), keys)
+
+
+def ordered(table: DataFrame, by: list[str], descending: bool = True) -> DataFrame:
+    """A summary, sorted for reading."""
+    return table.orderBy(*[F.desc(c) if descending else F.asc(c) for c in by])

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from causeway.operators import bootstrap, gains, metrics, models, rerank
+from causeway.operators import bootstrap, gains, metrics, models, rerank, tails
 
 
 @pytest.fixture(scope="module")
@@ -79,6 +79,55 @@ def test_rerank_puts_the_tail_first(scored):
     assert np.allclose(rows.sort_values("order")["reranked"], want / want.max())
 
 
+def test_running_sums_in_two_levels_equal_one_window(scored):
+    df, pdf = scored
+    for descending in (False, True):
+        got = metrics.running(df.withColumn("one", F.lit(1)), [], "score", {"k": "one", "p": "y"}, descending, "order").toPandas().sort_values("k")
+        want = pdf.sort_values(["score", "order"], ascending=[not descending, True])
+        assert list(got["order"]) == list(want["order"]) and list(got["k"]) == list(range(1, len(pdf) + 1)) and list(got["p"]) == list(want["y"].cumsum())
+    ranks = rerank.with_average_rank(df, [], "second", "r").toPandas().sort_values("order")["r"]
+    assert np.allclose(ranks, pdf["second"].rank(pct=True))
+    assert metrics.running(df.limit(0).withColumn("one", F.lit(1)), [], "score", {"k": "one"}).count() == 0
+
+
+def test_groups_that_cannot_be_evaluated_are_left_out(scored):
+    df, _ = scored
+    odd = df.withColumn("g", F.when(F.col("order") < 10, "few").when(F.col("y") == 0, "one").otherwise("both")).withColumn("y", F.when(F.col("g") == "both", F.col("order") % 2).otherwise(F.col("y")))
+    got = metrics.safe_evaluate(odd, ["g"]).collect()
+    assert [r["g"] for r in got] == ["both"] and got[0]["precision_at_0.01"] is not None
+    assert metrics.safe_evaluate(df, []).count() == 1 and metrics.safe_evaluate(df.where("y = 1"), []).count() == 0
+    assert [r["g"] for r in metrics.ordered(odd.groupBy("g").count(), ["count"]).collect()][0] == "one"
+
+
+def test_delta_mixtures_equal_a_plain_grid(scored):
+    df, pdf = scored
+    weights, table = tails.delta_mixture(df.withColumn("third", 1 - F.col("second")), "score", ["second", "third"], (-0.5, 0.0, 1.0))
+    logit = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
+    best = None
+    for i, (a, b) in enumerate((a, b) for a in (-0.5, 0.0, 1.0) for b in (-0.5, 0.0, 1.0)):
+        z = logit(pdf.score) + a * (logit(pdf.second) - logit(pdf.score)) + b * (logit(1 - pdf.second) - logit(pdf.score))
+        s = np.round(1 / (1 + np.exp(-z)), 12)
+        top = pdf.y.to_numpy()[np.lexsort((pdf.order, -s))]
+        key = (top[:12].mean(), top[:6].mean(), round(plain(pdf.y.to_numpy(), s.to_numpy())[0], 9), -i)
+        best = max(best or key, key)
+        if best == key:
+            want = {"second": a, "third": b}
+    assert weights == want and table.count() == 9
+    moved = df.withColumn("third", 1 - F.col("second")).select("order", tails.moved("score", {"second": 0.0, "third": 0.0}).alias("m"), "score").where("abs(m - score) > 1e-5")
+    assert moved.count() == 0
+
+
+def test_gates_choose_by_cohort(scored):
+    df, pdf = scored
+    rows = df.withColumns({"good": F.col("y") * 0.5 + 0.2, "cohort": F.when(F.col("order") % 3 == 0, "a").when(F.col("order") < 20, "few").otherwise("b"), "mix": F.when(F.col("order") % 3 == 0, F.col("y") * 0.9).otherwise(0.1)})
+    got = {r["cohort"]: r["model"] for r in tails.gate_choice(rows, ["score", "good"]).collect()}
+    assert got == {"a": "good", "b": "good", "few": "good"}
+    got = {r["cohort"]: r["model"] for r in tails.gate_choice(rows.drop("good"), ["score", "mix"]).collect()}
+    assert got["a"] == "mix"
+    flags = rows.limit(3).select(tails.cohort_of(F.col("order") == 0, F.col("order") < 2).alias("c"), "order").orderBy("order")
+    assert [r["c"] for r in flags.collect()] == ["C00_newedge", "known_endpoints", "other"]
+
+
 def test_choice_by_validation_takes_the_first_best(spark):
     t = spark.createDataFrame([(0, 0.5, 0.2, 0.99), (1, 0.7, 0.1, 0.1), (2, 0.7, 0.1, 0.1), (3, 0.7, 0.05, 0.9)], "trial int, p1 double, p05 double, ap double")
     assert rerank.select_lexicographic(t, []).first()["trial"] == 1
@@ -101,7 +150,9 @@ def test_bootstrap_is_the_same_for_any_partitioning(scored):
     df, _ = scored
     a, b = (bootstrap.block_bootstrap(x, [], "score", "second", window="window", replicates=60, block=50, chunk=20).orderBy("metric").collect() for x in (df, df.repartition(7)))
     assert a == b and a[0]["replicates"] == 60 and a[0]["low"] <= a[0]["delta"] <= a[0]["high"]
+    assert a[0]["low"] <= a[0]["mean"] <= a[0]["high"]
     assert bootstrap.block_bootstrap(df.limit(50), [], "score", "second", replicates=10).count() == 0
+    assert bootstrap.block_bootstrap(df.where("y = 0"), [], "score", "second", replicates=10).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -146,3 +197,32 @@ def test_logistic_tail_helps_the_tail(rows):
     assert fraction in (0.2, 0.5)
     before = metrics.precision_at(out, [], [0.05]).first()["precision"]
     assert metrics.precision_at(out, [], [0.05], score="reranked").first()["precision"] >= before
+
+
+def test_second_models_for_a_tail(rows):
+    weak = rows.withColumn("base", F.round(1 / (1 + F.exp(-0.3 * F.coalesce("x", F.lit(0.0)) - F.col("z"))), 6)).cache()
+    oof, valid, test = (weak.where(c).drop("row_ord") for c in ("order < 600", "order >= 600 and order < 1000", "order >= 1000"))
+    before = metrics.precision_at(test, [], [0.05], score="base").first()["precision"]
+    for transfer in (False, True):
+        out, tail = tails.crossfit(oof, valid, test, "base", ["base"], ["x"], (0.2, 0.5), transfer=transfer)
+        assert out.count() == 500 and set(test.columns) < set(out.columns) and {t["fraction"] for t in tail.trials} == {0.2, 0.5}
+        cut = tail.cut if transfer else tails.cutoff(test, "base", tail.fraction)
+        assert out.where("tail").count() == test.where(F.col("base") >= cut).count() and out.where("tail").agg(F.min("reranked")).first()[0] > out.where("not tail").agg(F.max("reranked")).first()[0]
+        assert metrics.precision_at(out, [], [0.05], score="reranked").first()["precision"] >= before
+    one = tails.crossfit(oof.withColumn("y", F.lit(0)), valid, test, "base", ["base"], ["x"])
+    assert one[1] is None and one[0].where("reranked <> base or tail").count() == 0
+    tail = tails.choose(oof, valid, "base", ["x"], (0.3,), ({"depth": 2, "least": 5, "trees": 3},), models.tail_trees)
+    assert tail.params["depth"] == 2 and tail.apply(test).count() == 500
+    fixed = tails.fixed(valid, test, "base", ["x"])
+    cut = tails.cutoff(valid, "base", 0.2)
+    assert fixed.where(F.col("base") < cut).where("replaced <> base").count() == 0 < fixed.where(F.col("base") >= cut).where("replaced <> base").count()
+
+
+def test_trees_stop_at_the_best_number_of_rounds(rows):
+    p = models.Preprocess(["x", "z"], ["c"]).fit(rows)
+    model, n = models.stopped_early(p.transform(rows.where("order < 900")), p.transform(rows.where("order >= 900")), trees=8, patience=2, first=2, depth=2)
+    assert n in (2, 4, 8) and len(model.trees) == n
+    found, params = models.fit_selected(p.transform(rows.where("order < 900")), p.transform(rows.where("order >= 900")), [{"trees": 2, "depth": 1}, {"trees": 3, "depth": 3}])
+    assert len(found.trees) == params["trees"]
+    importance = models.permutation_importance(model, p, rows.where("order >= 900"), ["x", "z"])
+    assert importance[0][0] == "x"
