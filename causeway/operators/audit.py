@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from causeway.operators import edges, history, temporal
+from causeway.operators.metrics import running
+from causeway.sources import sinks
 from causeway.spec import TransactionSpec
 
 
@@ -44,10 +48,18 @@ def aligned(a: DataFrame, b: DataFrame, keys: list[str]) -> bool:
 
 def permute_labels(df: DataFrame, spec: TransactionSpec, seed: int, out: str = "label") -> DataFrame:
     """Labels dealt anew within each window by a seeded order of hashes: a permutation, the same for the same seed."""
-    w = Window.partitionBy(*(spec.keys() or [F.lit(0)]))
     keys = spec.keys("__k")
-    shuffled = df.select(*spec.keys(), F.col(spec.label).alias("__y"), F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(seed), spec.order)), spec.order)).alias("__k"))
-    return df.withColumn("__k", F.row_number().over(w.orderBy(spec.order))).join(shuffled, keys).withColumn(out, F.col("__y")).drop("__k", "__y")
+    digest = F.md5(F.concat_ws(":", F.lit(seed), spec.order))
+    if spec.keys():
+        w = Window.partitionBy(*spec.keys())
+        drawn = df.withColumn("__k", F.row_number().over(w.orderBy(digest, spec.order)))
+        placed = df.withColumn("__k", F.row_number().over(w.orderBy(spec.order)))
+    else:
+        one = df.withColumns({"__one": F.lit(1), "__h": F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")})
+        drawn = running(one, [], "__h", {"__k": "__one"}, then=spec.order)
+        placed = running(one, [], spec.order, {"__k": "__one"}).drop("__one", "__h")
+    shuffled = drawn.select(*spec.keys(), F.col(spec.label).alias("__y"), "__k")
+    return placed.join(shuffled, keys).withColumn(out, F.col("__y")).drop("__k", "__y")
 
 
 def looks_ahead(df: DataFrame) -> list[str]:
@@ -73,3 +85,67 @@ def selection_leaks(report: str, marker: str = "test_used_for_selection") -> lis
 
     walk(json.loads(report), "")
     return found
+
+
+def block_checks(spark: SparkSession) -> list[dict]:
+    """Four checks of the causal contract on three made-up rows, two of one time and one later."""
+    spec = TransactionSpec(relations=(("card", "addr"),), risk=("card--addr",))
+    rows = [(k, k, t, y, "1", "10", 10.0) for k, t, y in ((1, 100, 1), (2, 100, 0), (3, 101, 0))]
+    e = edges.edges(spark.createDataFrame(rows, "row_ord long, tx_id long, t long, label int, card string, addr string, amount double"), spec)
+    n = {r["row_ord"]: r["n_0"] for r in history.history(e, edges.endpoints(e, spec), spec, [0]).where("side = 'left'").collect()}
+    seen = {r["row_ord"]: r["count_a"] for r in temporal.features(e, spec).collect()}
+    found = (("same_timestamp_label_excluded", n[2], n[2] == 0), ("strictly_later_label_included", n[3], n[3] > 0), ("same_timestamp_edge_excluded", seen[2], seen[2] == 0), ("strictly_later_edge_included", seen[3], seen[3] == 2))
+    return [{"check": c, "observed": float(v), "pass": bool(ok)} for c, v, ok in found]
+
+
+def provenance(spark: SparkSession, tables: dict[str, str], max_bytes: int = 1 << 28) -> list[dict]:
+    """For each named table: whether it is there, its files' newest change, bytes, sha256 (of tables of up to ``max_bytes``), rows, columns, policy, and whether it may be used again.
+
+    The digest is of the files' digests in the order of their names; files are read by Spark, not by the driver.
+    """
+    out = []
+    for role, path in sorted(tables.items()):
+        found = sinks.files(spark, path)
+        size = sum(n for _, n, _ in found)
+        row = {"role": role, "path": path, "exists": bool(found), "mtime_ms": max((m for _, _, m in found), default=0), "size_bytes": size, "sha256": "", "rows": 0, "columns": 0, "reuse_allowed": False}
+        if found:
+            if size <= max_bytes:
+                each = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("d")).orderBy("path").collect()  # a row for each file
+                row["sha256"] = hashlib.sha256("".join(r["d"] for r in each).encode()).hexdigest()
+            said = sinks.footer(spark, path)
+            row |= {"rows": spark.read.parquet(path).count() if said["columns"] else -1, "columns": len(said["columns"]), **{k: said["policy"].get(k, "") for k in sinks.POLICY}}
+            row["reuse_allowed"] = bool(said["columns"]) and sinks.causal_meta_ok(spark, path)
+        out.append(row)
+    return out
+
+
+def gate(checks: dict[str, tuple[bool, str]]) -> tuple[bool, str]:
+    """Whether all checks pass, and a report in Markdown; no checks do not pass."""
+    ok = bool(checks) and all(passed for passed, _ in checks.values())
+    lines = ["# Leakage and causality audit", "", f"Overall: **{'PASS' if ok else 'FAIL'}**", "", *(f"- `{name}`: {'PASS' if passed else 'FAIL'}{' - ' + note if note else ''}" for name, (passed, note) in checks.items())]
+    return ok, "\n".join(lines) + "\n"
+
+
+def audit(df: DataFrame, spec: TransactionSpec, delay: int, tables: dict[str, str] | None = None, reports: list[str] = ()) -> tuple[bool, str]:
+    """All audits of an event table in one gate: ties, label release, plans, permuted labels, made-up rows, tables and reports."""
+    e = edges.edges(df, spec, list(spec.risk))
+    ends = edges.endpoints(e, spec)
+    h = history.field_h(history.history(e, ends, spec, [delay]), 0, 5)
+    tied, out = ties(df, ends, spec).first(), release(ends, h, spec, delay).first()
+    ahead = looks_ahead(h) + looks_ahead(temporal.features(e, spec))
+    dealt = permute_labels(df, spec, 17)
+    same = df.agg(F.sum(spec.label)).first()[0] == dealt.agg(F.sum("label")).first()[0]
+    block = block_checks(df.sparkSession)
+    found = provenance(df.sparkSession, tables or {})
+    leaks = [x for r in reports for x in selection_leaks(r)]
+    return gate(
+        {
+            "same_timestamp": (True, f"{tied['tied_rows']} rows in {tied['tied_times']} times of several rows; {tied['shared_rows']} share an end with an earlier row of their time"),
+            "label_release": (out["mismatches"] == 0, f"{out['mismatches']} of {out['rows']} exposures differ"),
+            "plan": (not ahead, "; ".join(ahead)),
+            "placebo": (same, "permuted labels keep their number"),
+            "block": (all(c["pass"] for c in block), ", ".join(c["check"] for c in block if not c["pass"])),
+            "provenance": (all(r["reuse_allowed"] for r in found), ", ".join(r["role"] for r in found if not r["reuse_allowed"])),
+            "selection": (not leaks, ", ".join(leaks)),
+        }
+    )

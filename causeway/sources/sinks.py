@@ -4,15 +4,28 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The policy that a feature table is made under.
 POLICY = {
     "causal_policy": "strict_timestamp_block",
-    "same_timestamp_policy": "all rows of a timestamp see the state before it",
-    "label_release_policy": "time + delay < now",
+    "same_timestamp_policy": "block_frozen_t_minus",
+    "label_release_policy": "release_time_strictly_less_than_candidate_timestamp",
 }
+#: What the tables of a kind also say, and what they say alike.
+KINDS = {
+    "base": ((), {}),
+    "green": (("delays_days", "alphas", "ego_radius", "max_ego_nodes"), {"cache_version": "block_causal_v1"}),
+    "precision": (("delay_days", "history_alpha", "precision_alpha", "ego_radius", "max_ego_nodes"), {"cache_version": "block_causal_v1"}),
+    "posterior": (("delay_days", "alpha", "ego_radius", "max_ego_nodes"), {"cache_version": "block_causal_posterior_v1"}),
+    "warm": (("score_start", "score_end", "delay_days"), {"cache_version": "warmstart_block_causal", "warm_start_policy": "prefix_history_from_all_prior_rows"}),
+}
+#: Where a column of the Parquet schema carries the policy.
+_KEY = "causal"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -38,32 +51,80 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def write_features(df: DataFrame, path: str, partition_by: str | None = None, narrow: bool = True, **meta: object) -> None:
-    """Zstd parquet, doubles as floats, and a ``_meta.json`` beside with the causal policy and what is given."""
+def policy(kind: str, **meta: object) -> dict[str, object]:
+    """The policy of a kind of table with what is given; a key that the kind has to say and that is missing raises."""
+    needed, alike = KINDS[kind]
+    missing = [k for k in needed if k not in meta]
+    if missing:
+        raise ValueError(f"a table of kind {kind} also says {', '.join(missing)}")
+    return json.loads(json.dumps({**POLICY, **alike, **meta}))
+
+
+def write_features(df: DataFrame, path: str, partition_by: str | None = None, narrow: bool = True, kind: str = "base", **meta: object) -> None:
+    """Zstd parquet, doubles as floats, and the causal policy in the files' own schema (and in a ``_meta.json`` to read).
+
+    The footer of every file carries the policy as metadata of the first column, so it goes where the files go.
+    """
+    said = policy(kind, **meta)
     if narrow:
         df = df.select(*[F.col(f"`{c}`").cast("float").alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    first = next(c for c in df.columns if c != partition_by)
+    df = df.withMetadata(first, {_KEY: json.dumps(said, sort_keys=True)})
     out = df.write.mode("overwrite").option("compression", "zstd")
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
-    write_text(df.sparkSession, f"{path}/_meta.json", json.dumps({**POLICY, **meta}, sort_keys=True))
+    write_text(df.sparkSession, f"{path}/_meta.json", json.dumps(said, sort_keys=True))
+
+
+def footer(spark: SparkSession, path: str) -> dict[str, object]:
+    """``columns`` with their types and the ``policy`` of a table, from its files' footers alone; an absent or empty path gives neither."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return {"columns": {}, "policy": {}}
+    try:
+        schema = spark.read.parquet(path).schema
+    except AnalysisException:
+        return {"columns": {}, "policy": {}}
+    said = next((f.metadata[_KEY] for f in schema.fields if _KEY in f.metadata), None)
+    return {"columns": {f.name: f.dataType.simpleString() for f in schema.fields}, "policy": json.loads(said) if said else {}}
 
 
 def causal_meta_ok(spark: SparkSession, path: str, **expected: object) -> bool:
     """Whether a feature table carries the policy and all that is expected of it; a foreign table does not."""
-    text = read_text(spark, f"{path}/_meta.json")
-    if text is None:
-        return False
-    meta = json.loads(text)
+    said = footer(spark, path)["policy"]
     wanted = json.loads(json.dumps({**POLICY, **expected}))
-    return all(meta.get(k) == v for k, v in wanted.items())
+    return all(said.get(k) == v for k, v in wanted.items())
 
 
-def cached(spark: SparkSession, path: str, make, **meta: object) -> DataFrame:
-    """The table at ``path`` if its policy matches, else made, written and read again."""
-    if not causal_meta_ok(spark, path, **meta):
-        write_features(make(), path, narrow=False, **meta)
+def files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """``(name, bytes, mtime in ms)`` of a file, or of the files right inside a folder, by name; none if it is absent."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    found = [(x.getPath().getName(), int(x.getLen()), int(x.getModificationTime())) for x in fs.listStatus(p) if x.isFile()]
+    return sorted(x for x in found if not x[0].startswith(("_", ".")))
+
+
+def cached(spark: SparkSession, path: str, make, sources: list[str] = (), version: str = "1", **meta: object) -> DataFrame:
+    """The table at ``path`` if it was made under the same policy, version and source files, else made, written and read again.
+
+    Source files are told apart by name, size and time of change.
+    """
+    stamp = cache_key([[s, files(spark, s)] for s in sources], version)
+    if not causal_meta_ok(spark, path, stamp=stamp, **meta):
+        write_features(make(), path, narrow=False, stamp=stamp, **meta)
     return spark.read.parquet(path)
 
 
+def predictions(spark: SparkSession, folder: str, name: str, columns: list[str], seed: int, make, version: str = "1") -> DataFrame:
+    """The scores of a model, kept in ``folder`` under the hash of its name, columns, seed and version; made where they are not there yet."""
+    return cached(spark, f"{folder}/{cache_key(name, sorted(columns), seed, version)}", make, model=name)
+
+
+def write_status(spark: SparkSession, path: str, stage: str, **more: object) -> None:
+    """A small file that says how far a run has come."""
+    write_text(spark, path, json.dumps({"stage": stage, "updated": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), **more}, sort_keys=True))
+
+
 def cache_key(*parts: object) -> str:
     return hashlib.sha1(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from causeway.functions.scalar import number
 from causeway.spec import DAY
 
 
@@ -14,12 +15,32 @@ def read(spark: SparkSession, folder: str, name: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, max_rows: int | None = None) -> DataFrame:
-    """A CSV with a header under a declared schema; ``max_rows`` is taken before any sort."""
-    df = spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
+def require(df: DataFrame, columns: list[str]) -> DataFrame:
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"required columns are missing: {', '.join(missing)}")
+    return df
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, required: list[str] = (), max_rows: int | None = None) -> DataFrame:
+    """A CSV with a header, under a declared schema or as text; ``max_rows`` is taken before any sort."""
+    given = spark.read.csv(path, header=True)
+    require(given, list(required))
+    df = spark.read.csv(path, header=True, schema=schema, enforceSchema=False) if schema else given
     return df.limit(max_rows) if max_rows is not None else df
 
 
+def coerced(df: DataFrame, numbers: list[str], zero: list[str] = ()) -> DataFrame:
+    """Columns as numbers: what is none is null, or 0 for those of ``zero`` (a time that cannot be read sorts first)."""
+    return df.withColumns({c: number(df, c, 0.0 if c in zero else None) for c in dict.fromkeys([*numbers, *zero])})
+
+
+def glob_results(spark: SparkSession, pattern: str, kind: str = "csv", window: str = r"window_([0-9]+)") -> DataFrame:
+    """All small result files that match a path pattern, with ``window`` read from the path; no file, an error that says so."""
+    df = spark.read.csv(pattern, header=True, inferSchema=True) if kind == "csv" else spark.read.json(pattern, multiLine=True)
+    return df.withColumn("window", F.regexp_extract(F.col("_metadata.file_path"), window, 1).cast("int"))
+
+
 def join_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """A left join that raises if ``key`` repeats on either side."""
     for name, side in (("left", left), ("right", right)):
@@ -42,6 +63,19 @@ def with_row_order(df: DataFrame, time: str, ties: list[str], out: str = "row_or
     return df.join(shift, "__bucket").withColumn(out, (F.col("__shift") + inside).cast("long")).drop("__bucket", "__shift")
 
 
+def with_number(df: DataFrame, column: str, out: str, buckets: int = 1024) -> DataFrame:
+    """Adds a dense number, from 0, for each distinct value of a column, the same for any partitioning; null stays null.
+
+    Values are dealt to buckets by hash and numbered in each; a bucket starts where those before end, a table of a row for each.
+    """
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("__v")).distinct().withColumn("__b", F.pmod(F.xxhash64("__v"), F.lit(buckets)))
+    counts = values.groupBy("__b").agg(F.count("*").alias("__n"))
+    shift = counts.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy("__v")) - 1
+    numbers = values.join(F.broadcast(shift), "__b").select("__v", (F.col("__s") + inside).alias(out))  # at most ``buckets`` rows
+    return df.join(numbers, F.col(column) == F.col("__v"), "left").drop("__v")
+
+
 def chronological_split(df: DataFrame, order: str = "row_ord", train: float = 0.6, valid: float = 0.2, n: int | None = None, out: str = "split") -> DataFrame:
     """``train``, ``valid`` or ``test`` by rank, with floors as bounds; ``n`` is counted if not given."""
     n = df.count() if n is None else n
@@ -117,3 +151,19 @@ def bipartite(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     ins = li.select(F.col("l_orderkey").alias("tx"), F.concat(F.lit("s"), "l_suppkey").alias("address")).distinct()
     outs = li.select(F.col("l_orderkey").alias("tx"), F.concat(F.lit("p"), "l_partkey").alias("address")).distinct()
     return tx, ins, outs
+
+
+def address_files(spark: SparkSession, transactions: str, actors: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``(tx, ins, outs, features)`` of an address graph in four CSV files with the published names and columns.
+
+    ``tx`` is ``(tx, step, cls)``, a transaction without a class unknown (3); edges whose transaction is not in
+    the features are dropped, repeated ones count once.
+    """
+    features = read_csv(spark, f"{transactions}/txs_features.csv", required=["txId", "Time step"])
+    classes = read_csv(spark, f"{transactions}/txs_classes.csv", required=["txId", "class"])
+    numbers = [c for c in features.columns if c not in ("txId", "Time step")]
+    features = coerced(features, numbers).withColumns({"txId": F.col("txId").cast("bigint"), "Time step": F.col("`Time step`").cast("int")})
+    cls = classes.select(F.col("txId").cast("bigint").alias("tx"), F.col("class").try_cast("int").alias("cls"))
+    tx = features.select(F.col("txId").alias("tx"), F.col("`Time step`").alias("step")).join(cls, "tx", "left").withColumn("cls", F.coalesce("cls", F.lit(3)))
+    side = lambda name, column: read_csv(spark, f"{actors}/{name}.csv", required=["txId", column]).select(F.col("txId").cast("bigint").alias("tx"), F.col(column).alias("address")).distinct().join(tx.select("tx"), "tx", "left_semi")
+    return tx, side("AddrTx_edgelist", "input_address"), side("TxAddr_edgelist", "output_address"), features.withColumnRenamed("txId", "tx").withColumnRenamed("Time step", "step")

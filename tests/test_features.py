@@ -150,14 +150,147 @@ def test_sources_refuse_what_is_wrong(spark, tmp_path):
 def test_sinks_carry_their_policy(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5), (2, None)], "id long, x double")
     path = f"file://{tmp_path}/f"
-    sinks.write_features(df, path, delays_days=[0, 7], cache_version="1")
+    sinks.write_features(df, path, kind="green", delays_days=[0, 7], alphas=[5], ego_radius=2, max_ego_nodes=100)
     assert dict(spark.read.parquet(path).dtypes)["x"] == "float"
     assert sinks.causal_meta_ok(spark, path, delays_days=[0, 7]) and not sinks.causal_meta_ok(spark, path, delays_days=[0])
+    assert sinks.footer(spark, path)["columns"] == {"id": "bigint", "x": "float"} and sinks.footer(spark, path)["policy"]["cache_version"] == "block_causal_v1"
+    assert sinks.footer(spark, f"{path}-absent") == {"columns": {}, "policy": {}}
+    with pytest.raises(ValueError, match="ego_radius"):
+        sinks.write_features(df, path, kind="precision", delay_days=0, history_alpha=5, precision_alpha=5, max_ego_nodes=100)
     df.write.parquet(f"{path}2")
     assert not sinks.causal_meta_ok(spark, f"{path}2")
     assert sinks.content_digest(df) == sinks.content_digest(df.orderBy(F.desc("id")).repartition(3)) != sinks.content_digest(df.limit(1))
 
 
+def test_a_cache_goes_by_its_sources_and_version(spark, tmp_path):
+    source, path, made = tmp_path / "s.csv", f"file://{tmp_path}/c", []
+    source.write_text("a\n1\n")
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    get = lambda **more: sinks.cached(spark, path, make, [f"file://{source}"], **more).count()
+    assert (get(), get(), len(made)) == (3, 3, 1)
+    get(version="2")
+    source.write_text("a\n1\n2\n")
+    get(version="2")
+    assert len(made) == 3
+    a = [sinks.predictions(spark, f"file://{tmp_path}/p", "m", cols, seed, make).count() for cols, seed in ((["x", "y"], 1), (["y", "x"], 1), (["x"], 1), (["x", "y"], 2))]
+    assert a == [3] * 4 and len(made) == 6
+    sinks.write_status(spark, f"file://{tmp_path}/status.json", "fields", rows=3)
+    assert '"stage": "fields"' in (tmp_path / "status.json").read_text()
+
+
+def test_csv_files(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("id,t,x\n3,5,1.5\n1,oops,NaN\n2,4,\n")
+    df = tables.read_csv(spark, f"file://{tmp_path}/t.csv", required=["id", "t"])
+    assert [tuple(r) for r in tables.coerced(df, ["x"], ["t"]).collect()] == [("3", 5.0, 1.5), ("1", 0.0, None), ("2", 4.0, None)]
+    assert [r["id"] for r in tables.read_csv(spark, f"file://{tmp_path}/t.csv", "id int, t string, x string", max_rows=2).collect()] == [3, 1]
+    with pytest.raises(ValueError, match="missing: y"):
+        tables.read_csv(spark, f"file://{tmp_path}/t.csv", required=["id", "y"])
+    for w in (0, 3):
+        (tmp_path / f"window_{w}").mkdir()
+        (tmp_path / f"window_{w}" / "summary.csv").write_text(f"model,ap\nm,{w}.5\n")
+        (tmp_path / f"window_{w}" / "cohorts.json").write_text(f'{{"rows": {w}}}')
+    assert sorted(tuple(r) for r in tables.glob_results(spark, f"file://{tmp_path}/window_*/summary.csv").collect()) == [("m", 0.5, 0), ("m", 3.5, 3)]
+    assert sorted(tuple(r) for r in tables.glob_results(spark, f"file://{tmp_path}/window_*/cohorts.json", "json").collect()) == [(0, 0), (3, 3)]
+
+
+def test_address_graph_files(spark, tmp_path):
+    (tmp_path / "txs_features.csv").write_text("txId,Time step,f1\n10,1,0.5\n11,2,x\n12,2,\n")
+    (tmp_path / "txs_classes.csv").write_text("txId,class\n10,1\n11,2\n99,1\n")
+    (tmp_path / "AddrTx_edgelist.csv").write_text("input_address,txId\na,10\na,10\nb,11\nb,99\n")
+    (tmp_path / "TxAddr_edgelist.csv").write_text("txId,output_address\n10,b\n11,c\n12,a\n")
+    tx, ins, outs, features = tables.address_files(spark, f"file://{tmp_path}", f"file://{tmp_path}")
+    assert sorted(tuple(r) for r in tx.collect()) == [(10, 1, 1), (11, 2, 2), (12, 2, 3)]
+    assert sorted(tuple(r) for r in ins.collect()) == [(10, "a"), (11, "b")] and outs.count() == 3
+    assert sorted((r["tx"], r["f1"]) for r in features.collect()) == [(10, 0.5), (11, None), (12, None)]
+    from causeway.operators import address
+
+    h = {r["tx"]: r for r in address.history(tx, ins, outs).collect()}
+    assert h[12]["ell_addr_n_sum"] == 1 and h[11]["ell_h_max"] == pytest.approx((1 + 5) / 6)
+
+
+def test_numbers_of_values(spark):
+    df = spark.createDataFrame([(f"v{i % 37}" if i % 10 else None,) for i in range(200)], "v string")
+    got = [tables.with_number(d, "v", "n", 8).collect() for d in (df, df.repartition(5))]
+    code = [{r["v"]: r["n"] for r in rows} for rows in got]
+    assert code[0] == code[1] and sorted(n for v, n in code[0].items() if v is not None) == list(range(len(code[0]) - 1)) and code[0][None] is None
+    assert len(got[0]) == 200
+
+
+def test_even_subsamples(spark):
+    for n, most in ((10, 4), (1000, 37), (7, 7), (5, 9), (12, 1), (2, 2)):
+        got = [r[0] for r in spark.range(1, n + 1).where(scalar.evenly(F.col("id"), n, most)).orderBy("id").collect()]
+        want = list(range(1, n + 1)) if n <= most else [int(j * (n - 1) / (most - 1)) + 1 for j in range(most)] if most > 1 else [1]
+        assert got == want
+
+
+def test_audits_pass_or_fail_as_one(spark, tmp_path):
+    df = frame(spark, [(i, (i // 2) * DAY // 4, i % 2, f"c{i % 5}", f"a{i % 3}", 1.0) for i in range(1, 60)])
+    good, bad = f"file://{tmp_path}/good", f"file://{tmp_path}/bad"
+    sinks.write_features(df, good)
+    df.write.parquet(bad)
+    ok, report = audit.audit(df, SPEC, DAY, {"good": good}, ['{"test_used_for_selection": false}'])
+    assert ok and "FAIL" not in report and report.count("PASS") == 8
+    ok, report = audit.audit(df, SPEC, DAY, {"good": good, "bad": bad, "none": f"{bad}2"}, ['{"x": {"test_used_for_selection": true}}'])
+    assert not ok and "`provenance`: FAIL - bad, none" in report and "`selection`: FAIL - /x/test_used_for_selection" in report
+    rows = {r["role"]: r for r in audit.provenance(spark, {"good": good, "bad": bad, "none": f"{bad}2"})}
+    assert (rows["good"]["rows"], rows["bad"]["columns"], rows["none"]["exists"]) == (59, 7, False) and len(rows["bad"]["sha256"]) == 64
+    assert [c["pass"] for c in audit.block_checks(spark)] == [True] * 4
+
+
+def test_local_nodes_of_the_address_graph(spark):
+    """Against a replay by plain dicts: own addresses first, then history, whatever the distance; cut ends keep their history."""
+    import random
+
+    import numpy as np
+
+    from causeway.operators import address
+
+    rng = random.Random(4)
+    tx = [(i, i // 6 + 1, rng.choice([1, 2, 2, 3])) for i in range(60)]
+    ins = [(i, f"s{rng.randrange(6)}") for i, _, _ in tx for _ in range(rng.randrange(0, 4))]
+    outs = [(i, f"p{rng.randrange(9)}") for i, _, _ in tx for _ in range(rng.randrange(0, 5))]
+    ins, outs = sorted(set(ins)), sorted(set(outs))
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in ((tx, "tx long, step int, cls int"), (ins, "tx long, address string"), (outs, "tx long, address string"))]
+    for cap in (3, 5, 100):
+        got = {r["tx"]: r for r in address.exact_green(*frames, cap=cap).collect()}
+        for i, step, _ in tx:
+            past = [x for x in tx if x[1] < step]
+            known = [x for x in past if x[2] != 3]
+            p0 = sum(x[2] == 1 for x in known) / len(known) if known else 0.05
+            of = lambda t: {a for x, a in ins + outs if x == t}
+            n = lambda v: sum(v in of(x[0]) for x in known)  # noqa: B023, E731
+            h = lambda v: (sum(v in of(x[0]) for x in known if x[2] == 1) + 5 * p0) / (n(v) + 5)  # noqa: B023, E731
+            links = {frozenset((a, b)) for x in past for t, a in ins if t == x[0] for u, b in outs if u == x[0] and a != b}
+            own = sorted(of(i))
+            met, level = list(own), list(own)
+            for _ in range(2):
+                if len(met) >= 3 * cap:
+                    break
+                level = sorted({next(iter(k - {v})) for k in links for v in level if v in k} - set(met))
+                met = [*met, *level][: max(3 * cap, len(own))]
+                level = [v for v in level if v in met]
+            rest = [v for v in met if v not in own]
+            nodes = met if len(met) <= cap else own[:cap] + sorted(rest, key=lambda v: (-n(v), v))[: max(0, cap - len(own))]
+            if not own:
+                assert got[i]["ell_sd_mean"] == pytest.approx(p0) and got[i]["ell_green_nodes"] == 0
+                continue
+            at = {v: k for k, v in enumerate(nodes)}
+            m = np.diag([5 + n(v) ** 0.5 for v in nodes])
+            for k in links:
+                a, b = sorted(k)
+                if a in at and b in at:
+                    m[[at[a], at[b]], [at[a], at[b]]] += 1
+                    m[[at[a], at[b]], [at[b], at[a]]] -= 1
+            s = np.linalg.solve(m, [(5 + n(v) ** 0.5) * h(v) for v in nodes])
+            ends = [s[at[v]] if v in at else h(v) for v in own]
+            assert got[i]["ell_sd_mean"] == pytest.approx(np.mean(ends)) and got[i]["ell_sd_max"] == pytest.approx(max(ends)), (cap, i)
+            assert got[i]["ell_sd_absdiff_mean"] == pytest.approx(np.mean([abs(x - h(v)) for x, v in zip(ends, own, strict=True)])) and got[i]["ell_green_nodes"] == len(nodes)
+
+
 def test_plans_do_not_look_ahead(spark):
     e = edges.edges(frame(spark, [(1, 0, 1, "c", "a", 1.0)]), SPEC)
     h = history.history(e, edges.endpoints(e, SPEC), SPEC, [0, DAY], 7 * DAY)
