@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from causeway.functions.scalar import SCREENS
 from causeway.spec import DAY, LINES
 
 _TX = """tx AS (
@@ -71,7 +72,7 @@ _FLAGS = ", ".join(
 
 _ZERO = _hist(0) + f""",
 w AS (SELECT row_ord, layer, count(*) {_frame('layer, a, b', 1)} AS w FROM e),
-b0 AS (SELECT l.row_ord, l.layer, {_signal(5, 'l.f', 'l.n', 'l.rate')} AS a, {_signal(5, 'r.f', 'r.n', 'r.rate')} AS b, l.n AS na, r.n AS nb, CAST(w AS DOUBLE) AS w
+b0 AS (SELECT l.row_ord, l.layer, {_signal(5, 'l.f', 'l.n', 'l.rate')} AS a, {_signal(5, 'r.f', 'r.n', 'r.rate')} AS b, CASE WHEN l.n > 0 THEN CAST(l.f AS DOUBLE) / l.n ELSE l.rate END AS ra, CASE WHEN r.n > 0 THEN CAST(r.f AS DOUBLE) / r.n ELSE r.rate END AS rb, l.n AS na, r.n AS nb, CAST(w AS DOUBLE) AS w
    FROM h l JOIN h r ON l.row_ord = r.row_ord AND l.layer = r.layer AND l.side = 'left' AND r.side = 'right' JOIN w ON w.row_ord = l.row_ord AND w.layer = l.layer),
 b1 AS (SELECT *, (CAST(0.1 AS DOUBLE) + w) / (CAST(0.1 AS DOUBLE) * (CAST(0.1 AS DOUBLE) + 2 * w)) AS same, w / (CAST(0.1 AS DOUBLE) * (CAST(0.1 AS DOUBLE) + 2 * w)) AS x, 2 / (CAST(0.1 AS DOUBLE) + 2 * w) AS res, 5 + na AS da, 5 + nb AS db FROM b0),
 z AS (SELECT *, CAST(0.1 AS DOUBLE) * (same * a + x * b) AS sa, CAST(0.1 AS DOUBLE) * (same * b + x * a) AS sb, (da + w) * (db + w) - w * w AS det2 FROM b1)"""
@@ -116,6 +117,30 @@ prior AS (SELECT s.step, coalesce((SELECT CAST(sum(CAST(cls = 1 AS INTEGER)) AS
 st0 AS (SELECT address, step, sum(CAST(cls <> 3 AS INTEGER)) AS kn, sum(CAST(cls = 1 AS INTEGER)) AS kf FROM touch GROUP BY address, step),
 st AS (SELECT address, step, coalesce(sum(kn) OVER q, 0) AS n, coalesce(sum(kf) OVER q, 0) AS f FROM st0 WINDOW q AS (PARTITION BY address ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
+_EXPOSED = f"""{_edges(LINES.risk)}, ends AS (SELECT *, a AS node, 'left' AS side FROM e UNION ALL SELECT *, b, 'right' FROM e), c AS (SELECT row_ord, label, layer, side, count(label) {_frame('layer, node', 1)} AS n FROM ends),
+p AS (SELECT row_ord, layer, count(*) {_frame('layer, a, b', 1)} AS ab FROM e), f AS (SELECT c.row_ord, bool_and(least_n > 0) AS known, bool_or(least_n > 0 AND ab = 0) AS fresh FROM (SELECT row_ord, layer, min(n_all) AS least_n FROM (SELECT row_ord, layer, count(*) {_frame('layer, node', 1)} AS n_all FROM ends) GROUP BY row_ord, layer) c
+   JOIN p ON p.row_ord = c.row_ord AND p.layer = c.layer GROUP BY c.row_ord),
+x AS (SELECT c.row_ord, label, CAST(sum(CASE WHEN side = 'left' THEN n ELSE 0 END) AS BIGINT) AS l, CAST(sum(CASE WHEN side = 'right' THEN n ELSE 0 END) AS BIGINT) AS r, any_value(known) AS known, any_value(fresh) AS fresh FROM c JOIN f ON f.row_ord = c.row_ord GROUP BY c.row_ord, label)"""
+_STRATA = "k AS (" + " UNION ALL ".join(
+    f"SELECT *, '{name}' AS stratum FROM x WHERE {test}"
+    for name, test in (("cold_or_new", "l <= 0 OR r <= 0"), ("low_count", "least(l, r) BETWEEN 1 AND 5"), ("medium_count", "least(l, r) BETWEEN 6 AND 20"), ("high_count", "least(l, r) > 20"), ("known_endpoints", "known"), ("C00_newedge", "fresh"))
+) + ")"
+_VALID = f"""v AS (SELECT * FROM (WITH {_SCORES}, n AS (SELECT count(*) AS n FROM lineitem) SELECT s.*, round((score + second) / 2, 9) AS mean, greatest(score, second) AS most,
+  CASE WHEN seen = 0 THEN 'cold' WHEN seen <= 5 THEN 'low' ELSE 'seen' END AS cohort, CASE WHEN "order" - 1 < n * 6 // 10 THEN 'train' WHEN "order" - 1 < n * 8 // 10 THEN 'valid' ELSE 'test' END AS split FROM s CROSS JOIN n) WHERE split IN ('valid'))"""
+
+
+def _gate(robust: str, models: tuple[str, ...] = ("left", "second", "mean", "most")) -> str:
+    """The model that ranks a cohort's validation rows best, with its key."""
+    long = " UNION ALL ".join(f"SELECT cohort, y, \"order\", '{m}' AS model, {'score' if m == 'left' else m} AS score FROM v WHERE split = 'valid'" for m in models)
+    table = lambda key: f"""(WITH {_curve(key, 'lg')}, {_at(_budgets([0.01, 0.005]), key=key, frm='lg')}, pk AS (SELECT {key}, max(CASE WHEN budget = 0.01 THEN v END) AS p1, max(CASE WHEN budget = 0.005 THEN v END) AS p05 FROM (SELECT {key}, budget, sum(y) / CAST(k AS DOUBLE) AS v FROM kept GROUP BY {key}, budget, k) GROUP BY {key})
+SELECT m.*, p1, p05 FROM m JOIN pk USING ({key}))"""
+    return f"""WITH {_VALID}, lg AS ({long}), tc AS {table('cohort, model')}, tg AS {table('model')},
+sz AS (SELECT cohort, count(*) >= 20 AND sum(y) > 0 AND sum(y) < count(*) AS own FROM v WHERE split = 'valid' GROUP BY cohort),
+ky AS (SELECT tc.cohort, tc.model, {", ".join(f"CASE WHEN own THEN {robust} * tc.{c} + (1 - {robust}) * tg.{c} ELSE tg.{c} END AS {c}" for c in ("p1", "p05"))}, round(CASE WHEN own THEN tc.ap ELSE tg.ap END, 9) AS ap FROM tc JOIN tg ON tg.model = tc.model JOIN sz ON sz.cohort = tc.cohort),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY p1 DESC, p05 DESC, ap DESC, model DESC) AS rn FROM ky)
+SELECT cohort, model, {r('p1', 'p1')}, {r('p05', 'p05')}, {r('ap', 'ap')} FROM rk WHERE rn = 1"""
+
+
 ORACLE: dict[str, str] = {
     "tx_table": f"WITH {_TX} SELECT row_ord, row_ord AS tx_id, t, amount, label, cust, supp, brand, segment, status, size FROM tx",
     "edges_long": f"WITH {_edges(LINES.layers())} SELECT row_ord, t, amount, label, layer, a, b FROM e",
@@ -159,11 +184,35 @@ SELECT row_ord, layer, {r('te', 't_edge_amount')}, {r('ta', 't_endpoint_a_amount
     "layer_field_aggregates": f"WITH {_ZERO} SELECT row_ord, {r('sum(sa + sb)', 'S_all_sum')}, {r('max(greatest(sa, sb))', 'S_all_max')}, {r('sum(sa + sb) / (2 * count(*))', 'S_all_mean')}, {r('max(abs(sa - sb))', 'S_all_absdiff_max')}, {r('avg(abs(sa - sb))', 'S_all_absdiff_mean')} FROM z GROUP BY row_ord",
     "delay_contrast": "WITH " + _ends(LINES.risk) + ", g0 AS (SELECT layer, t, count(*) AS n, sum(label) AS f FROM e GROUP BY layer, t), " + f"g AS (SELECT layer, t, {', '.join(f'coalesce(sum({x}) ' + _frame('layer', k * DAY + 1) + f', 0) AS g{x}{k}' for x in 'nf' for k in (0, 1, 7, 14))} FROM g0), " + f"h AS (SELECT row_ord, t, layer, side, {', '.join(f'coalesce({fn}(label) ' + _frame('layer, node', k * DAY + 1) + f', 0) AS {x}{k}' for x, fn in (('n', 'count'), ('f', 'sum')) for k in (0, 1, 7, 14))} FROM ends), "
     + "k AS (SELECT h.*, " + ", ".join(_signal(5, f"f{k}", f"n{k}", f"(CASE WHEN gn{k} > 0 THEN CAST(gf{k} AS DOUBLE) / gn{k} ELSE 0 END)") + f" AS h{k}" for k in (0, 1, 7, 14)) + f" FROM h JOIN g USING (layer, t)) SELECT row_ord, layer, side, {r('h0 - h7', 'contrast_0_minus_7')}, {r('h1 - h14', 'contrast_1_minus_14')} FROM k",
-    "exposure_strata": f"""WITH {_edges(LINES.risk)}, ends AS (SELECT *, a AS node FROM e UNION ALL SELECT *, b FROM e), c AS (SELECT row_ord, label, layer, a, b, count(label) {_frame('layer, node', 1)} AS n FROM ends),
-p AS (SELECT row_ord, layer, count(*) {_frame('layer, a, b', 1)} AS ab FROM e), x AS (SELECT c.row_ord, c.label, c.layer, sum(n) AS n, min(n) AS least_n, max(ab) AS ab FROM c JOIN p ON p.row_ord = c.row_ord AND p.layer = c.layer GROUP BY c.row_ord, c.label, c.layer),
-y AS (SELECT row_ord, label, sum(n) AS n, bool_and(least_n > 0) AS known, bool_or(least_n > 0 AND ab = 0) AS fresh FROM x GROUP BY row_ord, label),
-z AS (SELECT label, 'cold' AS stratum FROM y WHERE n <= 0 UNION ALL SELECT label, 'low' FROM y WHERE n > 0 AND n <= 5 UNION ALL SELECT label, 'medium' FROM y WHERE n > 5 AND n <= 20 UNION ALL SELECT label, 'high' FROM y WHERE n > 20 UNION ALL SELECT label, 'known' FROM y WHERE known UNION ALL SELECT label, 'newedge' FROM y WHERE fresh)
-SELECT stratum, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives FROM z GROUP BY stratum""",
+    "edge_resistance": f"WITH {_ZERO} SELECT row_ord, layer, {r('ln(1 + res)', 'logdet_edge')}, {r('2 * same', 'fragility_diag_sum')}, {r('same', 'fragility_diag_max')}, {r('x / sqrt(same * same + 1e-12)', 'cross_ratio')}, {r('res - 2 * same', 'resistance_additive_gap')} FROM z",
+    "field_block": f"WITH {_ZERO} SELECT row_ord, layer, {r('sa + sb', 'S_sum')}, {r('greatest(sa, sb)', 'S_max')}, {r('least(sa, sb)', 'S_min')}, {r('sa - sb', 'S_diff')}, {r('abs(sa - sb)', 'S_absdiff')}, {r('sa - ra', 'S_left_minus_raw')}, {r('sb - rb', 'S_right_minus_raw')} FROM z",
+    "precision_screens": f"WITH {_ZERO} SELECT row_ord, layer, " + ", ".join(
+        r(f"{h} + ({f} - {h}) / ({alpha} + {({'count': n, 'sqrt': f'sqrt({n})', 'log1p': f'ln(1 + CAST({n} AS DOUBLE))'})[rule]})", f"SG_{rule}_a{alpha}_{s}")
+        for rule, alpha in SCREENS for s, h, f, n in (("left", "a", "sa", "na"), ("right", "b", "sb", "nb"))
+    ) + " FROM z",
+    "exposure_counts": f"WITH {_EXPOSED} SELECT row_ord, l AS released_count_left_sum, r AS released_count_right_sum, least(l, r) AS released_count_min, greatest(l, r) AS released_count_max, l + r AS released_count_sum FROM x",
+    "exposure_strata": f"WITH {_EXPOSED}, {_STRATA} SELECT stratum, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, {r('avg(least(l, r))', 'min_mean')}, {r('avg(l + r)', 'sum_mean')} FROM k GROUP BY stratum",
+    "strata_metrics": f"""WITH s AS (SELECT * FROM (WITH {_SCORES} SELECT * FROM s)), q AS (SELECT row_ord, stratum FROM (WITH {_EXPOSED}, {_STRATA} SELECT * FROM k)), k AS (SELECT s.*, stratum AS cohort FROM s JOIN q ON q.row_ord = s."order"),
+n AS (SELECT cohort, count(*) AS "rows", CAST(sum(y) AS BIGINT) AS positives FROM k GROUP BY cohort HAVING count(*) >= 20 AND sum(y) > 0 AND sum(y) < count(*)), {_curve('cohort', 'k')}
+SELECT cohort, "rows", positives, {r('ap', 'average_precision')}, {r('auc', 'roc_auc')} FROM n JOIN m USING (cohort)""",
+    "cohort_seven": f"""WITH s AS (SELECT * FROM (WITH {_SCORES} SELECT * FROM s)), f AS (SELECT * FROM (WITH {_temporal(LINES.risk)} SELECT row_ord, {_FLAGS} FROM v GROUP BY row_ord)),
+t AS (SELECT * FROM (WITH {_TX} SELECT row_ord, brand IS NOT NULL AND segment IS NOT NULL AS there FROM tx)), a AS (SELECT s.*, f.*, there FROM s JOIN f ON f.row_ord = s."order" JOIN t ON t.row_ord = s."order"),
+k AS ({" UNION ALL ".join(f"SELECT *, '{name}' AS cohort FROM a WHERE {test}" for name, test in (("all", "TRUE"), ("known_endpoints", "known_endpoints_all_edges = 1"), ("C00_newedge", "cohort_any_C00_newedge = 1"), ("identity_present", "there"), ("identity_missing", "NOT there"), ("C10", "cohort_any_C10 = 1"), ("C11", "cohort_all_C11 = 1")))}),
+n AS (SELECT cohort, count(*) AS "rows", CAST(sum(y) AS BIGINT) AS positives FROM k GROUP BY cohort HAVING count(*) >= 20 AND sum(y) > 0 AND sum(y) < count(*)), {_curve('cohort', 'k')}
+SELECT cohort, "rows", positives, {r('ap', 'average_precision')}, {r('auc', 'roc_auc')} FROM n JOIN m USING (cohort)""",
+    "delta_mixture": f"""WITH {_VALID}, wt AS (SELECT k, CAST([-0.5, 0, 0.25, 0.5, 1, 1.5][k + 1] AS DOUBLE) AS w FROM range(6) t(k)),
+gr AS (SELECT a.k * 36 + b.k * 6 + c.k AS trial, a.w AS wa, b.w AS wb, c.w AS wc FROM wt a CROSS JOIN wt b CROSS JOIN wt c),
+lg AS (SELECT "order", y, {", ".join(f"ln(least(greatest({c}, 1e-6), 1 - 1e-6) / (1 - least(greatest({c}, 1e-6), 1 - 1e-6))) AS l_{c}" for c in ("score", "second", "mean", "most"))} FROM v),
+mx AS (SELECT trial, "order", y, round(1 / (1 + exp(-(l_score + wa * (l_second - l_score) + wb * (l_mean - l_score) + wc * (l_most - l_score)))), 12) AS score FROM lg CROSS JOIN gr), {_curve('trial', 'mx')}, {_at(_budgets([0.01, 0.005]), key='trial', frm='mx')},
+pk AS (SELECT trial, budget, sum(y) / CAST(k AS DOUBLE) AS v FROM kept GROUP BY trial, budget, k),
+al AS (SELECT m.trial, round(ap, 9) AS ap, p1.v AS p1, p05.v AS p05 FROM m JOIN pk p1 ON p1.trial = m.trial AND p1.budget = 0.01 JOIN pk p05 ON p05.trial = m.trial AND p05.budget = 0.005)
+SELECT CAST(trial AS INTEGER) AS trial, {r('p1', 'p1')}, {r('p05', 'p05')}, {r('ap', 'ap')} FROM al ORDER BY p1 DESC, p05 DESC, ap DESC, trial LIMIT 1""",
+    "gate_choice": _gate("1"),
+    "robust_gate_choice": _gate("0.65"),
+    "gated_scores": f"""WITH {_VALID.replace("IN ('valid')", "IN ('valid', 'test')")}, pick AS ({_gate("1", ("left", "second"))})
+SELECT "order", v.cohort, y, {r("CASE pick.model WHEN 'second' THEN second ELSE score END", 'gated')} FROM v LEFT JOIN pick ON pick.cohort = v.cohort WHERE split = 'test'""",
+    "addr_step_split": f"WITH {_BIP.format(cap=200)} SELECT CASE WHEN step <= 30 THEN 'train' WHEN step <= 40 THEN 'valid' ELSE 'test' END AS split, count(*) AS n, min(step) AS \"first\", max(step) AS \"last\", CAST(sum(CAST(cls = 1 AS INTEGER)) AS BIGINT) AS positives FROM tx GROUP BY 1",
+    "addr_numbers": f"WITH {_BIP.format(cap=200)}, a AS (SELECT address FROM ins UNION ALL SELECT address FROM outs) SELECT count(DISTINCT address) AS addresses, count(DISTINCT address) AS numbers, CAST(0 AS BIGINT) AS least, count(DISTINCT address) - 1 AS most, count(*) AS \"rows\" FROM a",
     "wide_history": f"WITH {_hist(0)}, q AS (SELECT *, {_signal(5)} AS hh FROM h) SELECT row_ord, " + ", ".join(r(f"max(CASE WHEN layer = '{a}--{b}' AND side = '{s}' THEN hh END)", f"{a}_{b}__d0_a5__H_{s}") for a, b in (("cust", "brand"), ("supp", "brand")) for s in ("left", "right")) + " FROM q GROUP BY row_ord",
     "p_at_k": f"WITH {_SCORES}, {_at(_budgets([0.005, 0.01, 0.05]))} SELECT {_W}, budget, k, {r('sum(y) / CAST(k AS DOUBLE)', 'precision')}, {r('sum(y) / CAST(max(p) AS DOUBLE)', 'recall')} FROM kept GROUP BY {_W}, budget, k",
     "p_at_k_ceil": f"WITH {_SCORES}, {_at(_budgets([0.01], True, [100, 500]))} SELECT {_W}, budget, k, {r('sum(y) / CAST(k AS DOUBLE)', 'precision')}, {r('sum(y) / CAST(max(p) AS DOUBLE)', 'recall')} FROM kept GROUP BY {_W}, budget, k",

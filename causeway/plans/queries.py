@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import scalar
-from causeway.operators import address, assemble, audit, bootstrap, edges, gains, green, history, metrics, models, rerank, temporal
+from causeway.operators import address, assemble, audit, bootstrap, edges, gains, green, history, metrics, models, rerank, tails, temporal
 from causeway.operators.kernel import FieldConfig
 from causeway.sources import tables
 from causeway.spec import DAY, EVENTS, LINES, MAX_NODES
@@ -160,14 +160,44 @@ def delay_contrast(spark, d):
     return h.select("row_ord", "layer", "side", r6(value(0) - value(2), "contrast_0_minus_7"), r6(value(1) - value(3), "contrast_1_minus_14"))
 
 
-def exposure_strata(spark, d):
+def edge_resistance(spark, d):
+    """The resistance block of candidate edges, at radius 0, where it has a closed form."""
+    g = green.edge_values(_radius_zero(spark, d))
+    return g.select("row_ord", "layer", *[r6(c) for c in ("logdet_edge", "fragility_diag_sum", "fragility_diag_max", "cross_ratio", "resistance_additive_gap")])
+
+
+def field_block(spark, d):
+    """Sums, extremes, differences and contrasts with raw history of the field of radius 0."""
+    g = _radius_zero(spark, d)
+    return g.select("row_ord", "layer", *[r6(c, f"S_{k}") for k, c in green.field_columns("S_left", "S_right", "H_raw_left", "H_raw_right").items()])
+
+
+def precision_screens(spark, d):
+    g = _radius_zero(spark, d)
+    one = lambda rule, alpha, s: scalar.precision_screen(F.col(f"H_{s}"), F.col(f"S_{s}"), F.col(f"n_0_{s}").cast("double"), rule, alpha)
+    return g.select("row_ord", "layer", *[r6(one(rule, alpha, s), f"SG_{rule}_a{alpha}_{s}") for rule, alpha in scalar.SCREENS for s in ("left", "right")])
+
+
+def _exposure(spark, d) -> DataFrame:
+    """``(row_ord, label, released counts, cohort flags)``."""
     _, h = _history(spark, d, [0])
-    h = history.field_h(h, 0, 5)
-    f = temporal.features(_edges(spark, d, list(LINES.risk)), LINES)
-    agg = temporal.row_aggregates(f, LINES, [])
-    by = h.groupBy("row_ord", "label").agg(F.sum("n_0").alias("n")).join(agg, "row_ord")
-    s = by.select("row_ord", "label", F.explode(scalar.strata(F.col("n"), F.col("known_endpoints_all_edges") == 1, F.col("cohort_any_C00_newedge") == 1)).alias("stratum"))
-    return s.groupBy("stratum").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("positives"))
+    side = lambda s: F.sum(F.when(F.col("side") == s, F.col("n_0")).otherwise(0)).cast("bigint")
+    by = h.groupBy("row_ord", "label").agg(side("left").alias("__l"), side("right").alias("__r"))
+    by = by.select("row_ord", "label", *[c.alias(k) for k, c in scalar.exposure(F.col("__l"), F.col("__r")).items()])
+    return by.join(temporal.row_aggregates(temporal.features(_edges(spark, d, list(LINES.risk)), LINES), LINES, []), "row_ord")
+
+
+def _strata() -> dict[str, Column]:
+    return scalar.strata(F.col("released_count_left_sum"), F.col("released_count_right_sum"), F.col("known_endpoints_all_edges") == 1, F.col("cohort_any_C00_newedge") == 1)
+
+
+def exposure_counts(spark, d):
+    return _exposure(spark, d).select("row_ord", *scalar.exposure(F.lit(0), F.lit(0)))
+
+
+def exposure_strata(spark, d):
+    s = _exposure(spark, d).withColumn("stratum", F.explode(scalar.named(_strata())))
+    return s.groupBy("stratum").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("positives"), r6(F.avg("released_count_min"), "min_mean"), r6(F.avg("released_count_sum"), "sum_mean"))
 
 
 def wide_history(spark, d):
@@ -220,6 +250,44 @@ def cohort_metrics(spark, d):
     return m.select("window", "cohort", "rows", F.col("positives").cast("long").alias("positives"), r6("average_precision"), r6("roc_auc"))
 
 
+def strata_metrics(spark, d):
+    """Metrics of a score in each stratum of released counts."""
+    rows = _scores(spark, d).join(_exposure(spark, d).withColumnRenamed("row_ord", "order").drop("label"), "order")
+    m = metrics.by_masks(rows, [], _strata())
+    return m.select("cohort", "rows", F.col("positives").cast("long").alias("positives"), r6("average_precision"), r6("roc_auc"))
+
+
+def cohort_seven(spark, d):
+    """Metrics of a score in each of the seven cohorts."""
+    flags = temporal.row_aggregates(temporal.features(_edges(spark, d, list(LINES.risk)), LINES), LINES, [])
+    there = _tx(spark, d).select(F.col("row_ord").alias("order"), (F.col("brand").isNotNull() & F.col("segment").isNotNull()).cast("int").alias("identity_present"))
+    rows = _scores(spark, d).join(flags.withColumnRenamed("row_ord", "order"), "order").join(there, "order")
+    masks = scalar.cohorts({c: F.col(c) for c in ("known_endpoints_all_edges", "cohort_any_C00_newedge", "cohort_any_C10", "cohort_all_C11", "identity_present")})
+    m = metrics.by_masks(rows, [], masks)
+    return m.select("cohort", "rows", F.col("positives").cast("long").alias("positives"), r6("average_precision"), r6("roc_auc"))
+
+
+def _valid(spark, d) -> DataFrame:
+    """Scores of the rows on which choices are made, with two more scores and a cohort."""
+    rows = tables.chronological_split(_scores(spark, d), "order", n=tables.read(spark, d, "lineitem", ["l_orderkey"]).count()).where("split = 'valid'")
+    cohort = F.when(F.col("seen") == 0, "cold").when(F.col("seen") <= 5, "low").otherwise("seen")
+    return rows.withColumns({"mean": F.round((F.col("score") + F.col("second")) / 2, 9), "most": F.greatest("score", "second"), "cohort": cohort}).withColumnRenamed("score", "left")
+
+
+def delta_mixture(spark, d):
+    """How the best of 6^3 mixtures of logit differences ranks the validation rows."""
+    _, table = tails.delta_mixture(_valid(spark, d), "left", ["second", "mean", "most"])
+    return rerank.select_lexicographic(table, []).select(F.col("trial").cast("int").alias("trial"), *[r6(c) for c in ("p1", "p05", "ap")])
+
+
+def gate_choice(spark, d):
+    return tails.gate_choice(_valid(spark, d), ["left", "second", "mean", "most"]).select("cohort", "model", *[r6(c) for c in ("p1", "p05", "ap")])
+
+
+def robust_gate_choice(spark, d):
+    return tails.gate_choice(_valid(spark, d), ["left", "second", "mean", "most"], robust=0.65).select("cohort", "model", *[r6(c) for c in ("p1", "p05", "ap")])
+
+
 def reranked(spark, d):
     rows = rerank.rerank(rerank.tail_mask(_scores(spark, d), ["window"], 0.2), ["window"], "score", "second")
     return rows.select("window", "order", "tail", r6("reranked"))
@@ -295,6 +363,18 @@ def addr_history(spark, d):
     return h.select("tx", *[r6(c) for c in ("ell_h_mean", "ell_h_max", "ell_h_min", "ell_h_std", "ell_prior_rate")], *[F.col(c).cast("long").alias(c) for c in whole])
 
 
+def addr_step_split(spark, d):
+    tx, _, _ = tables.bipartite(spark, d)
+    return tx.groupBy(tables.step_split(F.col("step")).alias("split")).agg(F.count("*").alias("n"), F.min("step").alias("first"), F.max("step").alias("last"), F.sum((F.col("cls") == 1).cast("long")).alias("positives"))
+
+
+def addr_numbers(spark, d):
+    """How many distinct addresses there are, and that their numbers are as many and dense."""
+    _, ins, outs = tables.bipartite(spark, d)
+    n = tables.with_number(ins.union(outs).select("address"), "address", "k")
+    return n.agg(F.countDistinct("address").alias("addresses"), F.countDistinct("k").alias("numbers"), F.min("k").alias("least"), F.max("k").alias("most"), F.count("*").alias("rows"))
+
+
 def addr_one_hop(spark, d):
     return address.one_hop(*tables.bipartite(spark, d)).select("tx", r6("ell_s_mean"), r6("ell_s_max"))
 
@@ -316,6 +396,11 @@ def green_r2(spark, d):
     return green.fields(*_windowed(spark, d), FIELDS)
 
 
+def resistance_r2(spark, d):
+    """All ten values of the resistance block on the whole neighbourhood, with ``ego_nodes``."""
+    return green.fields(*_windowed(spark, d), FieldConfig(alphas=(5.0,), cap=MAX_NODES, resistance=True))
+
+
 def precision_r2(spark, d):
     config = FieldConfig(delays=(0,), green=False, cap=MAX_NODES, panel=(("sqrt", 5.0, 1.0), ("count", 5.0, 1.0), ("log1p", 5.0, 0.5), ("recent", 5.0, 1.0)), posterior=True, recent=7 * DAY)
     return green.fields(*_windowed(spark, d), config)
@@ -338,19 +423,60 @@ def _features(df: DataFrame) -> list[str]:
     return [c for c in df.columns if "__" in c or c == "log_amount"]
 
 
-def gbt_scores(spark, d):
+def _based(spark, d, trees: int = 8) -> tuple[DataFrame, list[str]]:
+    """Rows with ``base``, the score of trees that were fitted on the training rows, and the columns these had."""
     rows = _model_rows(spark, d).cache()
     train = rows.where("split = 'train'")
     p = models.Preprocess(_features(rows), ["status"]).fit(train)
-    model = models.gbt(p.transform(train), trees=8, depth=3)
+    model = models.gbt(p.transform(train), trees=trees, depth=3)
+    return models.scored(model, p.transform(rows), "base").drop("features").withColumnRenamed("row_ord", "order"), _features(rows)
+
+
+def gbt_scores(spark, d):
+    """Boosted trees of up to 500 rounds, as many as rank the validation rows best."""
+    rows = _model_rows(spark, d).cache()
+    train, valid = rows.where("split = 'train'"), rows.where("split = 'valid'")
+    p = models.Preprocess(_features(rows), ["status"]).fit(train)
+    model, _ = models.stopped_early(p.transform(train), p.transform(valid), **models.FULL)
     return models.scored(model, p.transform(rows)).select("row_ord", "split", "y", "score")
 
 
 def logistic_tail(spark, d):
-    s = gbt_scores(spark, d).withColumnRenamed("row_ord", "order")
-    rows = s.join(_model_rows(spark, d).drop("y", "split").withColumnRenamed("row_ord", "order"), "order").cache()
-    out, _ = models.logistic_tail(rows.where("split = 'valid'"), rows.where("split = 'test'"), "score", _features(rows), (0.1, 0.2))
-    return out.select("order", "y", "score", "tail", "reranked")
+    rows, columns = _based(spark, d)
+    out, _ = models.logistic_tail(rows.where("split = 'valid'"), rows.where("split = 'test'"), "base", columns, (0.1, 0.2))
+    return out.select("order", "y", F.col("base").alias("score"), "tail", "reranked")
+
+
+def _crossfit(kind: str, transfer: bool):
+    def query(spark, d):
+        rows, columns = _based(spark, d)
+        train = rows.where("split = 'train'").drop("base")
+        folds = models.oof_folds(train, train.count(), "order")
+        oof = models.oof_scores(folds, columns, trees=4, depth=3).withColumnRenamed("oof", "base").drop("fold", "weight")
+        out, _ = tails.crossfit(oof, rows.where("split = 'valid'"), rows.where("split = 'test'"), "base", ["base"], columns, (0.1, 0.2), kind, transfer)
+        return out.select("order", "y", "base", "tail", "reranked")
+
+    return query
+
+
+def tree_tail(spark, d):
+    rows, columns = _based(spark, d)
+    out, _ = tails.split_half(rows.where("split = 'valid'"), rows.where("split = 'test'"), "base", ["base"], columns, (0.2,))
+    return out.select("order", "y", "base", "tail", "reranked")
+
+
+def fixed_tail(spark, d):
+    rows, columns = _based(spark, d)
+    return tails.fixed(rows.where("split = 'valid'"), rows.where("split = 'test'"), "base", columns).select("order", "y", "base", "replaced")
+
+
+def gated_scores(spark, d):
+    """Test rows' scores by the model that their cohort's validation rows choose."""
+    rows = tables.chronological_split(_scores(spark, d), "order", n=tables.read(spark, d, "lineitem", ["l_orderkey"]).count())
+    cohort = F.when(F.col("seen") == 0, "cold").when(F.col("seen") <= 5, "low").otherwise("seen")
+    rows = rows.withColumn("cohort", cohort)
+    choice = tails.gate_choice(rows.where("split = 'valid'"), ["score", "second"])
+    return rerank.cohort_gate(rows.where("split = 'test'"), choice, ["cohort"], ["score", "second"], "score").select("order", "cohort", "y", r6("gated"))
 
 
 def oof_scores(spark, d):
@@ -368,6 +494,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         tx_table, edges_long, tabular, entity_norm, chrono_split, global_rate_by_layer, recent_release_7d, event_history, temporal_features, row_aggregates, common_neighbors, green_r0, edge_amount_statistics, shrinkage, layer_field_aggregates,
         delay_contrast, exposure_strata, wide_history, p_at_k, p_at_k_ceil, ranking_metrics, calibration, top_tail_calibration, cohort_metrics, reranked, mixture_selected, gain_table, comparisons, tie_audit, release_audit,
+        edge_resistance, field_block, precision_screens, exposure_counts, strata_metrics, cohort_seven, delta_mixture, gate_choice, robust_gate_choice, gated_scores, tree_tail, fixed_tail, addr_step_split, addr_numbers, resistance_r2,
         placebo_labels, warm_and_cold, bipartite_pairs, addr_history, addr_one_hop, addr_exact_green, green_r2, precision_r2, bounded_r2, gbt_scores, logistic_tail, oof_scores, block_bootstrap,
     )
-} | {"hist_d0_a5": _hist(0, 5), "hist_d7_a20": _hist(7, 20)}
+} | {"crossfit_tail": _crossfit("logistic", False), "crossfit_transfer": _crossfit("logistic", True), "crossfit_trees": _crossfit("trees", False), "hist_d0_a5": _hist(0, 5), "hist_d7_a20": _hist(7, 20)}
