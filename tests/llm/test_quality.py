@@ -35,6 +35,22 @@ def test_odd_rows(odd, empty):
     assert quality.assess(empty, []).collect() == []
 
 
+def test_kept_equals_the_rules_by_plain_code(docs, labels):
+    """What a learnt list keeps, from statistics counted anew and the list's own thresholds, the first rule first."""
+    rules = quality.fit(docs, labels)
+    share = lambda a, b: np.floor(a / b * 1e6 + 0.5) / 1e6 if b else 0.0
+    got = {r["doc_id"]: (r["kept"], r["rule"]) for r in quality.assess(docs, rules).collect()}
+    for r in docs.collect():
+        t = r["text"]
+        n, chars, symbols, dup, repeat = brute(t)
+        lines = len([x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        count = lambda p: len(re.findall(p, t))  # noqa: B023, E731
+        x = dict(zip(quality.STATISTICS, (share(symbols, chars), share(dup, lines), share(repeat, n), share(chars, n), share(len(set(re.findall(r"[^\x20\x09-\x0D]+", t))), n), share(count("[A-Z]"), chars), share(count("[|]"), n), share(count("!"), n), share(count("[0-9]"), chars)), strict=True))
+        first = next((k for k, rule in enumerate(rules, 1) if all((x[c] >= v) if above else (x[c] <= v) for c, above, v in rule.literals)), 0)
+        assert got[r["doc_id"]] == (n >= 50 and 100 * repeat <= 50 * n and first == 0, first)
+    assert rules and {k for k, _ in got.values()} == {True, False}
+
+
 def test_learnt_rules_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rules = quality.fit(docs, labels)

@@ -83,6 +83,60 @@ def test_entropy_spans_and_allow_list(spark):
     assert [x["kind"] for x in rows[3]["found"]] == [0]
 
 
+def allowed(s):
+    """The allow-list by plain code: no digit or no letter, words joined by marks, identifiers, placeholders."""
+    if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
+        return True
+    first, *rest = re.split("[_/=+-]+", s)
+    word = lambda x, least: (m := re.fullmatch("([0-9]*)([A-Za-z]*)([0-9]*)", x)) and len(m[2]) >= least and (len(m[3]) <= 4 or not m[2])
+    if word(first, 1) and all(word(x, 0) for x in rest):
+        return True
+    if re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", s):
+        return True
+    return any(x in s.lower() for x in ("example", "placeholder", "changeme", "dummy", "xxxx", "0000", "1234567"))
+
+
+def brute_spans(t):
+    base = brute(t)
+    out = list(base)
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t):
+        s = m[0]
+        if allowed(s) or any(a < m.end() and z > m.start() for a, _, z in base):
+            continue
+        for _, symbols, least in secrets.CLASSES.values():
+            x = s.lower() if len(symbols) == 16 else s
+            if set(x) <= set(symbols):
+                if entropy(x, symbols) >= least - 1e-9:
+                    out.append((m.start(), 3, m.end()))
+                break
+    return sorted(out)
+
+
+def test_all_spans_equal_plain_code(spark, docs):
+    rng = random.Random(11)
+    bits = ["-", "_", "/", "=", "+", " ", " ", "password=", "example", "0000", "word", "Key1", "ab12345", "deadBEEF01", "9f"]
+    token = lambda: "".join(rng.choice(rng.choice(["0123456789abcdef", secrets.CLASSES["alnum"][1], secrets.CLASSES["base64"][1], "ab1"])) for _ in range(rng.randrange(18, 50)))
+    texts = ["".join(rng.choice([*bits, token()]) for _ in range(rng.randrange(1, 12))) for _ in range(600)]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for frame in (docs.select("doc_id", "text"), made):
+        want = {r["doc_id"]: brute_spans(r["text"]) for r in frame.collect()}
+        assert {r["doc_id"]: [tuple(x) for x in r["found"]] for r in secrets.scan(frame).collect()} == want
+    assert sum(s[1] == 3 for x in want.values() for s in x) > 30
+
+
+def test_tokens_of_any_length(spark):
+    """Tokens of a hundred thousand characters of each class and of joined words, which no pattern may recurse into."""
+    rng = random.Random(12)
+    many = lambda symbols: "".join(rng.choices(symbols, k=100_000))
+    texts = ["ab" + "-c1" * 40_000, "a/" * 60_000, "x=1" * 40_000, "1" * 100_000, "é" * 100_000, "AKIA" + "Z" * 100_000, "token=" + "a." * 50_000, many("0123456789ABCDEF"), many(secrets.CLASSES["alnum"][1]), many(secrets.CLASSES["base64"][1])]
+    rows = {r["doc_id"]: [tuple(x) for x in r["found"]] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[k] for k in range(5)] == [[], [], [], [(0, 2, 100_000)], []]
+    assert rows[5] == [(0, 1, 100_004)] and rows[6] == [(0, 0, 100_006)]
+    for k in (7, 8, 9):
+        base = brute(texts[k])
+        assert rows[k] == (base if base or allowed(texts[k]) else [(0, 3, 100_000)])
+
+
 def test_no_python_in_the_plan(docs):
     plan = secrets.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
