@@ -151,7 +151,6 @@ def similar(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col
     rows = materialize(minhash.signatures(docs, id_col, text_col), "signatures")
     slim = materialize(rows.select("doc_id", "fp"), "fingerprints")
     classes = _classes(slim, lambda _: minhash.links(rows, similarity))
-    discard(rows)
     return slim.join(classes, "fp", "left").select("doc_id", "component_id")
 
 
