@@ -69,6 +69,17 @@ def radius_zero(h: DataFrame, ridge: float, alpha: float, w: str = "w") -> DataF
     )
 
 
+def edge_values(g: DataFrame, eps: float = 1e-12) -> DataFrame:
+    """What is read off the Green values of each candidate edge, as columns beside ``G_aa, G_bb, G_ab`` and ``R_ab``."""
+    aa, bb, ab, r = F.col("G_aa"), F.col("G_bb"), F.col("G_ab"), F.col("R_ab")
+    return g.withColumns(
+        {
+            "logdet_edge": F.log1p(r), "fragility_diag_sum": aa + bb, "fragility_diag_max": F.greatest(aa, bb),
+            "cross_ratio": ab / F.sqrt(F.greatest(aa * bb, F.lit(0.0)) + eps), "resistance_additive_gap": r - aa - bb,
+        }
+    )
+
+
 def field_columns(left: str, right: str, raw_left: str, raw_right: str):
     """The S block: sum, max, min, difference and contrasts with raw history."""
     a, b = F.col(left), F.col(right)
