@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.sources.shared import discard, materialize, shared_dir  # noqa: F401
+
 #: ``[^\x20\x09-\x0D]+`` is a word wherever an operator counts words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,45 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only where no ``spark.checkpoint.dir`` is set and driver and executors are one process (as in
-    tests) a temporary folder of this machine is made and recorded in the session; a cluster without one raises.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is to name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="causeway-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns the written table.
-
-    This cuts the lineage: a lost executor costs a re-read of files, not a recomputation.
-    The folder goes when the session's JVM ends, or earlier by ``discard``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    out = spark.read.schema(schema).parquet(path)
-    out._causeway_path = jpath
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``materialize`` wrote and nothing reads any more."""
-    for df in tables:
-        path = df._causeway_path
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Rows that go to a Python worker at once; texts may be long, and Spark's own default is ten times as many.
 BATCH_ROWS = 1024
 

@@ -2,12 +2,13 @@
 
 from dataclasses import replace
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from causeway.functions import scalar
-from causeway.operators import assemble, audit, edges, green, history, temporal
+from causeway.operators import assemble, audit, edges, green, history, states, temporal
 from causeway.operators.cumulate import before
 from causeway.operators.kernel import FieldConfig
 from causeway.sources import sinks, tables
@@ -346,3 +347,24 @@ def test_names_and_merges(spark):
     t = scalar.tabular_features(spark.createDataFrame([(3600 * 30, -4.0, None)], "t long, amount double, c string"), "t", "amount", ["c"], ["c"], ["c"]).first()
     assert (t["hour"], t["relative_day"], t["log_amount"], t["c_missing"], t["identity_present"]) == (6.0, 1.0, 0.0, 1, 0)
     assert isinstance(t.asDict(), dict) and pd.isna(float("nan"))
+
+
+@pytest.mark.parametrize("sent, heavy", [(10**6, 10**6), (0, 10**6), (0, 30)])
+def test_states_of_events_equal_those_of_their_ends(spark, sent, heavy):
+    """Whether columns are sent, shuffled or cut in blocks, the states are those that a row for each end gives."""
+    rng = np.random.default_rng(5)
+    spec = TransactionSpec(relations=(("p", "q"), ("p", "r"), ("q", "r")), risk=("p--q",), tick=10)
+    pick = lambda of: of[int(rng.integers(0, len(of)))]
+    rows = [(i, int(rng.integers(0, 400)), pick([1.0, 2.5, None]), pick([0, 1, None]), pick([1, 1, 1, 2, 3, None]), pick(["x", "y", " ", None]), pick([0.0, -0.0, 1.5, float("nan")])) for i in range(1, 161)]
+    tx = spark.createDataFrame(rows, "row_ord long, t long, amount double, label int, p int, q string, r double")
+    got = states.States(tx, spec, spec.layers(), states.wanted(spec, *states.TEMPORAL, "n", "f", delay=25), ("count", "last"), sent=sent, heavy=heavy).with_rates(25)
+    e = edges.edges(tx, spec)
+    show = lambda df, columns: sorted(tuple(None if v is None else round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*columns).collect())
+    want = temporal.features(e, spec)
+    assert show(temporal.of_states(got), want.columns) == show(want, want.columns)
+    both = history.both_sides(history.history(e, edges.endpoints(e, spec), spec, [25]), spec, ["n_0", "f_0", "rate_0"])
+    assert show(got.long(), ["row_ord", "layer", "n_a", "n_b", "f_a", "f_b", "rate"]) == show(both, ["row_ord", "layer", "n_0_left", "n_0_right", "f_0_left", "f_0_right", "rate_0_left"])
+    flags = temporal.row_aggregates(want, spec, ["count_a", "degree_b"])
+    arrays = got.rows.select("row_ord", got.array().alias("e")).where("size(e) > 0")
+    arrays = arrays.select("row_ord", *[c.alias(k) for k, c in (temporal.array_aggregates(F.col("e"), {"count_a": lambda e: e["count_a"], "degree_b": lambda e: e["degree_b"]}) | temporal.cohort_flags(F.col("e"))).items()])
+    assert show(arrays, flags.columns) == show(flags, flags.columns)
