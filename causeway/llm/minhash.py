@@ -18,6 +18,8 @@ already or provably less similar.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -68,18 +70,19 @@ def parities(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-@F.pandas_udf(T.StructType().add("fp", "long").add("keys", T.ArrayType(T.LongType())).add("s", T.ArrayType(T.LongType())).add("p", T.ArrayType(T.LongType())))
-def _signatures(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t in texts:
-        s = shingles(t)
-        rows.append((xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63), bands(s), s.view(np.int64), parities(s)))
-    return pd.DataFrame(rows, columns=["fp", "keys", "s", "p"])
+def signatures(docs: DataFrame, fingerprint: Callable[[str | None], int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, fp, keys, s, p, h)``, a row for each row of ``docs``: the node, its band keys, its shingles, their parities and the text's fingerprint."""
+    kind = T.StructType().add("fp", "long").add("keys", T.ArrayType(T.LongType())).add("s", T.ArrayType(T.LongType())).add("p", T.ArrayType(T.LongType())).add("h", "long")
 
+    @F.pandas_udf(kind)
+    def found(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            s = shingles(t)
+            rows.append((xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63), bands(s), s.view(np.int64), parities(s), fingerprint(t)))
+        return pd.DataFrame(rows, columns=["fp", "keys", "s", "p", "h"])
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp, keys, s, p)``, a row for each row of ``docs``: the node, its band keys, its shingles and their parities."""
-    return bounded_batches(docs).select(F.col(id_col).alias("doc_id"), _signatures(F.col(text_col)).alias("x")).select("doc_id", "x.*")
+    return bounded_batches(docs).select(F.col(id_col).alias("doc_id"), found(F.col(text_col)).alias("x")).select("doc_id", "x.*")
 
 
 #: Sizes from one power of this to the next are compared as one.
@@ -111,9 +114,10 @@ def _rest(crowded: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("fp", "c").alias("a"), F.greatest("fp", "c").alias("b"), "size", "z")
 
 
-def links(rows: DataFrame, similarity: float) -> DataFrame:
+def links(rows: DataFrame, similarity: float, proposed: DataFrame) -> DataFrame:
     """``(a, b)`` edges between nodes of ``signatures`` that join the same as all links of ``similarity`` or more that share a key do.
 
+    Pairs ``(a, b)`` that were ``proposed`` otherwise are verified with the others.
     ``rows`` is a written table, which is deleted as soon as the sets of nodes that share a key are written.
     """
     keyed = rows.select("fp", F.size("s").alias("size"), "keys").dropDuplicates(["fp"]).select("fp", "size", F.explode("keys").alias("key"))
@@ -121,7 +125,8 @@ def links(rows: DataFrame, similarity: float) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(drawn).alias("x"), F.max(drawn).alias("y")).where("n > 1")
     shared = materialize(shared, "shared")
     members = materialize(keyed.join(shared.select("key", "n").hint("merge"), "key"), "members")
-    sets = materialize(rows.select("fp", "s", "p").join(members.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    asked = members.select("fp").union(proposed.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
+    sets = materialize(rows.select("fp", "s", "p").join(asked, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
     discard(rows)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -136,7 +141,9 @@ def links(rows: DataFrame, similarity: float) -> DataFrame:
 
     few = members.where(F.col("n").between(3, MAX_BUCKET)).select("key", F.struct("fp", "size").alias("m"))
     some = few.withColumnRenamed("m", "x").join(few.withColumnRenamed("m", "y"), "key").where("x.fp < y.fp")
-    pairs = pair(shared.where("n = 2"), "x", "y").union(pair(some, "x", "y"))
+    size = lambda end, out: sets.select(F.col("fp").alias(end), F.size("s").alias(out))
+    given = proposed.join(size("a", "size"), "a").join(size("b", "z"), "b").select("a", "b", "size", "z")
+    pairs = pair(shared.where("n = 2"), "x", "y").union(pair(some, "x", "y")).union(given)
     crowded = members.where(F.col("n") > MAX_BUCKET).drop("n")
     if not crowded.limit(1).count():
         found = materialize(verified(pairs), "near")

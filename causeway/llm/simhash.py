@@ -143,14 +143,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def proposed(rows: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes ``fp`` whose fingerprints ``h`` are equal or linked by deletion variants; a star where several nodes have one fingerprint."""
+    nodes = materialize(rows.select(F.col("fp").alias("node"), F.col("h").alias("fp")).distinct(), "hashed")
+    centre = materialize(nodes.groupBy("fp").agg(F.min("node").alias("a"), F.count("*").alias("n")), "centres")
+    same = nodes.join(centre.where("n > 1").select("fp", "a"), "fp").where("node <> a").select("a", F.col("node").alias("b"))
+    end = lambda x: centre.select(F.col("fp").alias(x), F.col("a").alias(f"__{x}"))
+    near = links(centre.select("fp")).join(end("a"), "a").join(end("b"), "b").where("__a <> __b").select(F.col("__a").alias("a"), F.col("__b").alias("b"))
+    out = materialize(same.union(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
+    discard(nodes, centre)
+    return out
+
+
 def similar(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, component_id)`` as ``near_duplicates`` gives them, with links by the similarity of ``minhash``'s shingles.
 
-    Texts without words, null ones too, are copies of each other.
+    Deletion variants propose pairs as they do there, ``minhash`` those that differ by more bits; all are verified on whole sets of
+    shingles.  Texts without words, null ones too, are copies of each other.
     """
-    rows = materialize(minhash.signatures(docs, id_col, text_col), "signatures")
-    slim = materialize(rows.select("doc_id", "fp"), "fingerprints")
-    classes = _classes(slim, lambda _: minhash.links(rows, similarity))
+    rows = materialize(minhash.signatures(docs, fingerprint, id_col, text_col), "signatures")
+    slim = materialize(rows.select("doc_id", "fp", "h"), "fingerprints")
+    classes = _classes(slim.select("doc_id", "fp"), lambda _: minhash.links(rows, similarity, proposed(slim)))
     return slim.join(classes, "fp", "left").select("doc_id", "component_id")
 
 

@@ -114,3 +114,17 @@ def test_rows_without_an_id_stay(spark):
         for similarity in (None, 0.8):
             got = sorted(map(tuple, simhash.deduplicate(frame, similarity=similarity).collect()), key=str)
             assert got == sorted([(None, "x y z"), (None, "x y z"), *more[:1]], key=str)
+
+
+def test_deletion_variants_propose_what_is_compared_by_shingles(spark):
+    """Nodes of one fingerprint, and of fingerprints that differ by 2 bits, are proposed; those that differ by 3 are not."""
+    rows = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (4, 0b11), (5, 0b111 << 20), (6, 0b1), (6, 0b1)], "fp long, h long")
+    roots = {r["node"]: r["root"] for r in connected_components(simhash.proposed(rows)).collect()}
+    assert len({roots[k] for k in (1, 2, 3, 4, 6)}) == 1 and 5 not in roots
+
+
+def test_stage_asks_deletion_variants(spark, monkeypatch):
+    seen, plain = [], simhash.proposed
+    monkeypatch.setattr(simhash, "proposed", lambda rows: seen.append(rows) or plain(rows))
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "x y z")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(docs, similarity=0.8).collect()) == [1, 3] and len(seen) == 1
