@@ -20,3 +20,13 @@ def test_a_line_is_not_shuffled_once_for_each_end(spark, name):
     before = shuffled(spark)
     QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
     assert (shuffled(spark) - before) / lines <= MOST[name]
+
+
+def test_rows_of_models_are_written_once(spark):
+    from causeway.plans import queries
+
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    before = shuffled(spark)
+    rows = queries._model_rows(spark, SF)
+    rows.count(), rows.agg({"log_amount": "sum"}).collect()
+    assert (shuffled(spark) - before) / lines <= 600 and rows.columns[0] == "row_ord" and len(rows.columns) == 21
