@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from causeway.operators import edges, history, temporal
 from causeway.operators.metrics import running
+from causeway.operators.states import States
 from causeway.sources import sinks
 from causeway.spec import TransactionSpec
 
@@ -41,6 +42,32 @@ def release(ends: DataFrame, features: DataFrame, spec: TransactionSpec, delay:
     return both.agg(F.count("*").alias("rows"), F.max(gap).alias("max_gap"), F.sum((gap > tolerance).cast("long")).alias("mismatches"))
 
 
+def release_of_states(s: States, n: str, delay: int, tolerance: float = 1e-4) -> DataFrame:
+    """``release`` of the released counts ``n`` of events' states, by column: a node is compared once for each of its times."""
+    time, out = s.spec.time, None
+    for c in s.columns:
+        own, sides = s.spec.keys(f"__{c}"), s.sides(c)
+        there = F.col(f"__{c}").isNotNull()
+        given = [f"{n}_{k}_{x}" for k, x in sides]
+        stored = s.rows.where(there).groupBy(*own, time, *given).agg(*[F.count_if(s.there(k)).alias(f"__rows_{i}") for i, (k, _) in enumerate(sides)])
+        counts = [F.count_if(s.there(k) & F.col("__label").isNotNull()).alias(f"__n_{i}") for i, (k, _) in enumerate(sides)]
+        by = s.base.where(there).groupBy(*own, time).agg(*counts)
+        names = [f"__n_{i}" for i in range(len(sides))]
+        two = F.array(
+            F.struct((F.col(time) + delay).alias("at"), F.lit(1).alias("release"), *names), F.struct(F.col(time).alias("at"), F.lit(0).alias("release"), *[F.lit(0).cast("bigint").alias(x) for x in names])
+        )
+        # At one instant questions come before releases: release is strict.
+        w = Window.partitionBy(*own).orderBy("at", "release").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counted = by.select(*own, F.explode(two).alias("x")).select(*own, "x.*").withColumns({f"__e_{i}": F.log1p(F.sum(x).over(w).cast("double")) for i, x in enumerate(names)})
+        counted = counted.where("release = 0").select(*own, F.col("at").alias(time), *[f"__e_{i}" for i in range(len(sides))])
+        gap = lambda i: F.when(F.col(f"__rows_{i}") > 0, F.abs(F.log1p(F.col(given[i]).cast("double")) - F.col(f"__e_{i}")))
+        one = F.explode(F.array(*[F.struct(F.col(f"__rows_{i}").alias("n"), gap(i).alias("gap")) for i in range(len(sides))])).alias("x")
+        part = stored.join(counted, [*own, time]).select(one).select("x.*")
+        part = part.agg(F.sum("n").alias("rows"), F.max("gap").alias("max_gap"), F.coalesce(F.sum(F.when(F.col("gap") > tolerance, F.col("n"))), F.lit(0)).alias("mismatches"))
+        out = part if out is None else out.union(part)
+    return out.agg(F.sum("rows").alias("rows"), F.max("max_gap").alias("max_gap"), F.sum("mismatches").alias("mismatches"))
+
+
 def aligned(a: DataFrame, b: DataFrame, keys: list[str]) -> bool:
     """Whether two tables have the same keys."""
     return not a.join(b, keys, "left_anti").limit(1).count() and not b.join(a, keys, "left_anti").limit(1).count()

@@ -368,3 +368,13 @@ def test_states_of_events_equal_those_of_their_ends(spark, sent, heavy):
     arrays = got.rows.select("row_ord", got.array().alias("e")).where("size(e) > 0")
     arrays = arrays.select("row_ord", *[c.alias(k) for k, c in (temporal.array_aggregates(F.col("e"), {"count_a": lambda e: e["count_a"], "degree_b": lambda e: e["degree_b"]}) | temporal.cohort_flags(F.col("e"))).items()])
     assert show(arrays, flags.columns) == show(flags, flags.columns)
+
+
+def test_release_of_states_counts_each_row_that_differs(spark):
+    tx = spark.createDataFrame([(i, 10 * (i // 3), 1.0, i % 2, "x", "y" if i % 4 else None) for i in range(1, 13)], "row_ord long, t long, amount double, label int, p string, q string")
+    spec = TransactionSpec(relations=(("p", "q"),), risk=("p--q",), tick=10)
+    s = states.States(tx, spec, spec.layers(), states.wanted(spec, "n", delay=5))
+    assert audit.release_of_states(s, "n", 5).collect() == [(18, 0.0, 0)]
+    s.rows = s.rows.withColumn("n_0_a", F.col("n_0_a") + (F.col("row_ord").isin(7, 8)).cast("int"))
+    got = audit.release_of_states(s, "n", 5).first()
+    assert got["rows"] == 18 and got["mismatches"] == 1 and got["max_gap"] > 0.01

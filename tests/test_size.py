@@ -6,7 +6,7 @@ from causeway.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
 #: Bytes a line of ``lineitem`` that a query may write to shuffles; each wrote more when its edges' ends were rows of their own.
-MOST = {"layer_field_aggregates": 600, "cohort_seven": 600, "edge_amount_statistics": 600, "exposure_counts": 600, "exposure_strata": 600, "field_block": 600, "green_r0": 600, "precision_screens": 600, "row_aggregates": 1000, "shrinkage": 600, "strata_metrics": 600, "temporal_features": 1000}
+MOST = {"layer_field_aggregates": 600, "cohort_seven": 600, "edge_amount_statistics": 600, "exposure_counts": 600, "exposure_strata": 600, "field_block": 600, "green_r0": 600, "precision_screens": 600, "row_aggregates": 1000, "shrinkage": 600, "strata_metrics": 600, "temporal_features": 1000, "release_audit": 700}
 
 
 def shuffled(spark) -> int:
