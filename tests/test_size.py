@@ -30,3 +30,17 @@ def test_rows_of_models_are_written_once(spark):
     rows = queries._model_rows(spark, SF)
     rows.count(), rows.agg({"log_amount": "sum"}).collect()
     assert (shuffled(spark) - before) / lines <= 600 and rows.columns[0] == "row_ord" and len(rows.columns) == 21
+
+
+@pytest.mark.parametrize("name", ["green_r0"])
+def test_joined_lines_are_written_once_and_go(spark, name, monkeypatch):
+    from pathlib import Path
+
+    from causeway.plans import queries
+
+    seen, tx = [], queries._tx
+    monkeypatch.setattr(queries, "_tx", lambda *args: seen.append(tx(*args)) or seen[-1])
+    QUERIES[name](spark, SF)
+    (lines,) = seen
+    assert not any("testdata" in f for f in lines.inputFiles())
+    assert not Path(str(lines._causeway_path.toUri().getPath())).exists()
