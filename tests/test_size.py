@@ -32,7 +32,7 @@ def test_rows_of_models_are_written_once(spark):
     assert (shuffled(spark) - before) / lines <= 600 and rows.columns[0] == "row_ord" and len(rows.columns) == 21
 
 
-@pytest.mark.parametrize("name", ["exposure_strata", "green_r0", "precision_screens"])
+@pytest.mark.parametrize("name", ["exposure_strata", "green_r0", "precision_screens", "shrinkage"])
 def test_joined_lines_are_written_once_and_go(spark, name, monkeypatch):
     from pathlib import Path
 
