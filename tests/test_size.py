@@ -44,3 +44,9 @@ def test_joined_lines_are_written_once_and_go(spark, name, monkeypatch):
     (lines,) = seen
     assert not any("testdata" in f for f in lines.inputFiles())
     assert not Path(str(lines._causeway_path.toUri().getPath())).exists()
+
+
+@pytest.mark.parametrize("name", ["crossfit_tail"])
+def test_second_models_read_rows_that_are_scored_once(spark, name):
+    found = QUERIES[name](spark, SF.replace("0.01", "0.001"))
+    assert {f.split("/")[-2].split("-")[0] for f in found.inputFiles()} <= {"based", "tail"}
