@@ -99,6 +99,15 @@ def test_groups_that_cannot_be_evaluated_are_left_out(scored):
     assert [r["g"] for r in metrics.ordered(odd.groupBy("g").count(), ["count"]).collect()][0] == "one"
 
 
+def test_delta_mixtures_rank_some_trials_at_a_time(scored, monkeypatch):
+    found = []
+    for rows in (2500, 10**9):
+        monkeypatch.setattr(tails, "MIXED", rows)
+        weights, table = tails.delta_mixture(scored[0], "score", ["second"], (-0.5, 0.0, 0.5, 1.0, 1.5))
+        found.append((weights, sorted(tuple(r) for r in table.collect()), len({f.rsplit("/", 1)[0] for f in table.inputFiles()})))
+    assert found[0][:2] == found[1][:2] and len(found[0][1]) == 5 and (found[0][2], found[1][2]) == (3, 1)
+
+
 def test_delta_mixtures_equal_a_plain_grid(scored):
     df, pdf = scored
     weights, table = tails.delta_mixture(df.withColumn("third", 1 - F.col("second")), "score", ["second", "third"], (-0.5, 0.0, 1.0))
