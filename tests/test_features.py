@@ -69,6 +69,17 @@ def test_future_rows_and_shuffles_change_nothing(spark):
     assert pick(frame(spark, rows[:30])) == [r for r in base if r[1] < rows[30][1]] + [r for r in pick(frame(spark, rows[:30])) if r[1] >= rows[30][1]]
 
 
+def test_neighbourhoods_are_looked_up_in_steps(spark, monkeypatch):
+    rows = [(i, i // 3, "x", f"a{i % 7}", f"a{i * i % 11}") for i in range(1, 90)]
+    e = spark.createDataFrame(rows, "row_ord long, t long, layer string, a string, b string")
+    found = []
+    for most in (100, 10**9):
+        monkeypatch.setattr(temporal, "LOOKED_UP", most)
+        n = temporal.neighborhood(e, SPEC)
+        found.append((sorted((r[0], r[1], round(r[2], 9), round(r[3], 9)) for r in n.collect()), len({f.rsplit("/", 1)[0] for f in n.inputFiles() if "/shared-" in f})))
+    assert found[0][0] == found[1][0] and len(found[0][0]) == 89 and found[0][1] > 1 == found[1][1]
+
+
 def test_neighbourhood_of_any_graph(spark):
     rows = [(1, 1, "a", "m"), (2, 2, "b", "m"), (3, 3, "a", "n"), (4, 4, "b", "n"), (5, 5, "a", "b"), (6, 5, "b", "m")]
     e = spark.createDataFrame([(i, t, "x", a, b) for i, t, a, b in rows], "row_ord long, t long, layer string, a string, b string")
