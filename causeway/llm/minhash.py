@@ -71,20 +71,46 @@ def parities(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, fingerprint: Callable[[str | None], int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp, keys, s, p, h)``, a row for each row of ``docs``: the node, its band keys, its shingles, their parities and the text's fingerprint."""
-    kind = T.StructType().add("fp", "long").add("keys", T.ArrayType(T.LongType())).add("s", T.ArrayType(T.LongType())).add("p", T.ArrayType(T.LongType())).add("h", "long")
+    """``(doc_id, fp, keys, size, h)``, a row for each row of ``docs``: the node, its band keys, its number of shingles and the text's fingerprint."""
+    kind = T.StructType().add("fp", "long").add("keys", T.ArrayType(T.LongType())).add("size", "integer").add("h", "long")
 
     @F.pandas_udf(kind)
     def found(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             s = shingles(t)
-            rows.append((xxhash.xxh64_intdigest(s.tobytes(), 42) - (1 << 63), bands(s), s.view(np.int64), parities(s), fingerprint(t)))
-        return pd.DataFrame(rows, columns=["fp", "keys", "s", "p", "h"])
+            rows.append((node(s), bands(s), len(s), fingerprint(t)))
+        return pd.DataFrame(rows, columns=["fp", "keys", "size", "h"])
 
     return bounded_batches(docs).select(F.col(id_col).alias("doc_id"), found(F.col(text_col)).alias("x")).select("doc_id", "x.*")
 
 
+def node(found: np.ndarray) -> int:
+    """The number of a set of shingles."""
+    return xxhash.xxh64_intdigest(found.tobytes(), 42) - (1 << 63)
+
+
+def _sets(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """``(fp, s, p)``: the shingles and parities of the nodes of ``named`` ``(fp, doc_id)``, from ``(doc_id, text)``.
+
+    All shingles of a corpus are twice its size, those of nodes that share a key few; so they are not written
+    with the signatures but taken again from one text of each such node.
+    """
+    kind = T.StructType().add("fp", "long").add("s", T.ArrayType(T.LongType())).add("p", T.ArrayType(T.LongType()))
+
+    @F.pandas_udf(kind)
+    def found(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t) for t in texts]
+        return pd.DataFrame([(node(s), s.view(np.int64), parities(s)) for s in sets], columns=["fp", "s", "p"])
+
+    asked = texts.join(named.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    if named.where("doc_id is null").limit(1).count():
+        asked = asked.union(texts.where("doc_id is null"))
+    rows = bounded_batches(asked).select(found("text").alias("x")).select("x.*")
+    # An id may name several texts, of which not all are asked for.
+    return rows.join(named.select("fp").hint("merge"), "fp", "left_semi").dropDuplicates(["fp"])
+
+
 #: Sizes from one power of this to the next are compared as one.
 _STEP = 1.02
 
@@ -114,20 +140,22 @@ def _rest(crowded: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("fp", "c").alias("a"), F.greatest("fp", "c").alias("b"), "size", "z")
 
 
-def links(rows: DataFrame, similarity: float, proposed: DataFrame) -> DataFrame:
+def links(rows: DataFrame, texts: DataFrame, similarity: float, proposed: DataFrame) -> DataFrame:
     """``(a, b)`` edges between nodes of ``signatures`` that join the same as all links of ``similarity`` or more that share a key do.
 
-    Pairs ``(a, b)`` that were ``proposed`` otherwise are verified with the others.
-    ``rows`` is a written table, which is deleted as soon as the sets of nodes that share a key are written.
+    Pairs ``(a, b)`` that were ``proposed`` otherwise are verified with the others, all on the shingles of ``texts`` ``(doc_id, text)``.
+    ``rows`` is a written table, which is deleted as soon as the nodes that share a key are written.
     """
-    keyed = rows.select("fp", F.size("s").alias("size"), "keys").dropDuplicates(["fp"]).select("fp", "size", F.explode("keys").alias("key"))
+    keyed = rows.select("fp", "size", "keys").dropDuplicates(["fp"]).select("fp", "size", F.explode("keys").alias("key"))
     drawn = F.struct("fp", "size")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(drawn).alias("x"), F.max(drawn).alias("y")).where("n > 1")
     shared = materialize(shared, "shared")
     members = materialize(keyed.join(shared.select("key", "n").hint("merge"), "key"), "members")
     asked = members.select("fp").union(proposed.select(F.explode(F.array("a", "b")).alias("fp"))).distinct()
-    sets = materialize(rows.select("fp", "s", "p").join(asked, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    named = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(asked, "fp", "left_semi"), "named")
     discard(rows)
+    sets = materialize(_sets(texts, named), "sets")
+    discard(named)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of ``(a, b, size, z)`` that are as similar as asked."""

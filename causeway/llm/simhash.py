@@ -163,7 +163,8 @@ def similar(docs: DataFrame, similarity: float, id_col: str = "doc_id", text_col
     """
     rows = materialize(minhash.signatures(docs, fingerprint, id_col, text_col), "signatures")
     slim = materialize(rows.select("doc_id", "fp", "h"), "fingerprints")
-    classes = _classes(slim.select("doc_id", "fp"), lambda _: minhash.links(rows, similarity, proposed(slim)))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    classes = _classes(slim.select("doc_id", "fp"), lambda _: minhash.links(rows, texts, similarity, proposed(slim)))
     return slim.join(classes, "fp", "left").select("doc_id", "component_id")
 
 

@@ -72,3 +72,28 @@ def test_clouds_chains_and_short_texts(spark):
 def test_odd_rows(odd, empty):
     assert simhash.similar(odd, 0.8).count() == odd.count()
     assert simhash.similar(empty, 0.8).collect() == []
+
+
+def test_shingles_are_not_written_for_texts_that_share_no_key(spark, monkeypatch):
+    from causeway.llm import minhash
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    alone = [" ".join(word() for _ in range(200)) for _ in range(20)]
+    twin = [word() for _ in range(200)]
+    # Ids that are null or name two texts must still lead to the right shingles.
+    rows = [*enumerate(alone), (3, " ".join(twin)), (100, " ".join([*twin[1:], word()])), (None, " ".join([*twin[2:], word()])), (None, alone[7] + " " + word())]
+    written, held = {}, {}
+
+    def spy(df, label):
+        out = minhash_materialize(df, label)
+        written[label], held[label] = out.columns, out.count()
+        return out
+
+    minhash_materialize = minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", spy)
+    monkeypatch.setattr(simhash, "materialize", spy)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["component_id"]) for r in simhash.similar(frame, 0.8).collect()}
+    assert {(3, 3), (100, 3), (None, 3), (None, 7), (7, 7)} <= found
+    assert "s" not in written["signatures"] and "s" in written["sets"] and held["sets"] == 5
