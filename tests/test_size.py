@@ -50,3 +50,25 @@ def test_joined_lines_are_written_once_and_go(spark, name, monkeypatch):
 def test_second_models_read_rows_that_are_scored_once(spark, name):
     found = QUERIES[name](spark, SF.replace("0.01", "0.001"))
     assert {f.split("/")[-2].split("-")[0] for f in found.inputFiles()} <= {"based", "tail"}
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3])
+def test_sums_over_neighbours_in_blocks(spark, blocks):
+    import random
+
+    from causeway.operators import address
+
+    rng = random.Random(blocks)
+    steps = {a: sorted(rng.sample(range(1, 12), rng.randrange(1, 8))) for a in "abcdefghij"}
+    known = {(a, s): (rng.randrange(3), 0) for a, x in steps.items() for s in x}
+    known = {k: (n, rng.randrange(n + 1)) for k, (n, _) in known.items()}
+    links = [(s, *rng.sample([a for a in steps if s in steps[a]], 2)) for _ in range(60) for s in [rng.randrange(1, 12)] if sum(s in x for x in steps.values()) > 1]
+    by = spark.createDataFrame([(a, x, [known[a, s][0] for s in x], [known[a, s][1] for s in x]) for a, x in steps.items()], "address string, step array<int>, kn array<int>, kf array<int>")
+    p0 = [(s, s / 20) for s in range(1, 12)]
+    got = {(r["address"], r["step"]): r for r in address.neighbour_sums(spark.createDataFrame(links, "step int, a string, b string"), by, p0, 5.0, blocks).collect()}
+    assert len(got) == len(known)
+    state = lambda a, s: [sum(known[a, x][k] for x in steps[a] if x < s) for k in (0, 1)]
+    for (a, s), r in got.items():
+        near = {b for t, *pair in links if t < s and a in pair for b in pair if b != a}
+        total = sum((f + 5 * s / 20) / (n + 5) for n, f in (state(b, s) for b in near))
+        assert [r["n"], r["f"]] == state(a, s) and r["deg"] == len(near) and r["total"] == pytest.approx(total)
