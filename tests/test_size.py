@@ -46,6 +46,31 @@ def test_joined_lines_are_written_once_and_go(spark, name, monkeypatch):
     assert not Path(str(lines._causeway_path.toUri().getPath())).exists()
 
 
+@pytest.mark.parametrize("name", ["exposure_strata"])
+def test_no_write_shuffles_most_of_what_is_shuffled(spark, name, monkeypatch):
+    """Many lines are joined and ranked in parts, and the states of a shuffled column are written before the next one's shuffle."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from causeway.operators import states
+    from causeway.sources import tables
+
+    want = sorted(map(tuple, QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(tables, "AT_ONCE", 1000, raising=False)
+    monkeypatch.setattr(states.States.__init__, "__defaults__", ((), (), 10_000, states.HEAVY, None))
+    sizes, write = [], DataFrameWriter.parquet
+
+    def spy(self, path, *args, **kwargs):
+        before = shuffled(spark)
+        write(self, path, *args, **kwargs)
+        sizes.append(shuffled(spark) - before)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spy)
+    before = shuffled(spark)
+    assert sorted(map(tuple, QUERIES[name](spark, SF).collect())) == want
+    sizes.append(shuffled(spark) - before - sum(sizes))
+    assert max(sizes) <= 0.4 * sum(sizes)
+
+
 @pytest.mark.parametrize("name", ["crossfit_tail"])
 def test_second_models_read_rows_that_are_scored_once(spark, name):
     found = QUERIES[name](spark, SF.replace("0.01", "0.001"))
