@@ -46,7 +46,7 @@ def test_joined_lines_are_written_once_and_go(spark, name, monkeypatch):
     assert not Path(str(lines._causeway_path.toUri().getPath())).exists()
 
 
-@pytest.mark.parametrize("name", ["exposure_strata", "precision_screens"])
+@pytest.mark.parametrize("name", ["exposure_strata", "precision_screens", "shrinkage"])
 def test_no_write_shuffles_most_of_what_is_shuffled(spark, name, monkeypatch):
     """Many lines are joined and ranked in parts, and the states of a shuffled column are written before the next one's shuffle."""
     from pyspark.sql.readwriter import DataFrameWriter
