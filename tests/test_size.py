@@ -97,3 +97,19 @@ def test_sums_over_neighbours_in_blocks(spark, blocks):
         near = {b for t, *pair in links if t < s and a in pair for b in pair if b != a}
         total = sum((f + 5 * s / 20) / (n + 5) for n, f in (state(b, s) for b in near))
         assert [r["n"], r["f"]] == state(a, s) and r["deg"] == len(near) and r["total"] == pytest.approx(total)
+
+
+def test_fields_of_windows_deal_an_event_once(spark, monkeypatch):
+    """An event goes to its window as one row, whatever its relations, and gives what its edges give."""
+    from dataclasses import replace
+
+    from causeway.operators import edges, green
+    from causeway.operators.kernel import FieldConfig
+    from causeway.sources import tables
+    from causeway.spec import LINES
+
+    tx, spec, config = tables.with_window(tables.lines(spark, SF.replace("0.01", "0.001")), 1000), replace(LINES, window="window"), FieldConfig(green=False, cap=12, fallback_cap=6)
+    got = green.window_fields(tx, spec, config, list(LINES.risk))
+    want = green.fields(edges.edges(tx, spec, list(LINES.risk)), spec, config)
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert not any(x in QUERIES[q](spark, SF.replace("0.01", "0.001"))._jdf.queryExecution().toString() for q in ("bounded_r2", "green_r2") for x in ("Generate", "explode"))
