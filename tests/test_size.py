@@ -136,7 +136,7 @@ def test_local_graphs_are_walked_in_arrays(spark, monkeypatch):
         assert [x[1:] for x in found[0][1]] == [pytest.approx(x[1:]) for x in found[1][1]] and found[0][0] < found[1][0] / 2
 
 
-@pytest.mark.parametrize("name", ["precision_screens"])
+@pytest.mark.parametrize("name", ["precision_screens", "shrinkage"])
 def test_columns_are_shuffled_in_parts_that_are_written(spark, name, monkeypatch):
     """The last column's shuffle is not left to whoever reads the rows, beside the tables that it reads; the first events go."""
     from causeway.operators import states
