@@ -80,6 +80,22 @@ def test_neighbourhoods_are_looked_up_in_steps(spark, monkeypatch):
     assert found[0][0] == found[1][0] and len(found[0][0]) == 89 and found[0][1] > 1 == found[1][1]
 
 
+def test_neighbourhoods_are_looked_up_in_arrays(spark, monkeypatch):
+    """Nothing of an edge's neighbours is shuffled; a graph too large to be sent is joined row by row and gives the same."""
+    rows = [(i, i // 3, "xy"[i % 2], f"a{i % 7}" if i % 13 else None, f"a{i * i % 11}" if i % 17 else None) for i in range(1, 300)]
+    e = spark.createDataFrame(rows, "row_ord long, t long, layer string, a string, b string")
+    store, found = spark.sparkContext._jsc.sc().statusStore(), []
+    shuffled = lambda: sum(x.totalShuffleWrite() for x in map(store.executorList(False).apply, range(store.executorList(False).size())))
+    for sent in (10**9, 0):
+        monkeypatch.setattr(temporal, "SENT", sent, raising=False)
+        before = shuffled()
+        n = temporal.neighborhood(e, SPEC)
+        got = sorted((r[0], r[1], r[2], round(r[3], 9), round(r[4], 9)) for r in n.select("layer", *[c for c in n.columns if c != "layer"]).collect())
+        found.append((shuffled() - before, got, n.dtypes))
+    assert found[0][1:] == found[1][1:] and found[0][1] and max(r[2] for r in found[0][1]) > 2
+    assert found[0][0] < found[1][0] / 2
+
+
 def test_neighbourhood_of_any_graph(spark):
     rows = [(1, 1, "a", "m"), (2, 2, "b", "m"), (3, 3, "a", "n"), (4, 4, "b", "n"), (5, 5, "a", "b"), (6, 5, "b", "m")]
     e = spark.createDataFrame([(i, t, "x", a, b) for i, t, a, b in rows], "row_ord long, t long, layer string, a string, b string")
