@@ -261,6 +261,39 @@ def test_second_models_for_a_tail(rows):
     assert fixed.where(F.col("base") < cut).where("replaced <> base").count() == 0 < fixed.where(F.col("base") >= cut).where("replaced <> base").count()
 
 
+def test_trees_keep_the_rounds_of_least_loss(rows):
+    p = models.Preprocess(["x", "z"]).fit(rows)
+    train, valid = (p.transform(rows.where(c)) for c in ("order < 300", "order >= 300"))
+    losses = models.gbt(train, trees=30, depth=4, rate=0.5).evaluateEachIteration(models.balanced(valid))
+    best = losses.index(min(losses)) + 1
+    model = models.best_rounds(train, valid, trees=30, depth=4, rate=0.5, patience=30)
+    assert 1 <= len(model.trees) == best < 30 and models.scored(model, valid).where("score between 0 and 1").count() == valid.count()
+    out = models.oof_scores(models.oof_folds(rows, 1500), ["x"], patience=2, trees=4, depth=2)
+    assert out.count() == 750 and out.where("oof between 0 and 1").count() == 750
+
+
+def test_cross_fitted_models_are_whole(monkeypatch):
+    """Base scores of as many rounds as are best of 500, folds of 160, and all five fractions, trees of 180 rounds by two sizes."""
+    from causeway.plans import queries
+
+    class Rows:
+        def __getattr__(self, name):
+            return lambda *args: self
+
+    seen = {}
+    monkeypatch.setattr(queries, "_based", lambda spark, d, trees=8: (seen.update(trees=trees) or Rows(), ["x"]))
+    monkeypatch.setattr(queries, "materialize", lambda df, label: df)
+    monkeypatch.setattr(models, "oof_folds", lambda *args: Rows())
+    monkeypatch.setattr(models, "oof_scores", lambda df, columns, **params: seen.update(fold=params) or Rows())
+    monkeypatch.setattr(tails, "choose", lambda *args: seen.update(grid=args[5], fractions=args[4]))
+    monkeypatch.setattr(tails, "meta", lambda df, scores, summaries: (df, []))
+    monkeypatch.setattr(tails, "_unchanged", lambda test, base: test)
+    for name in ("crossfit_trees", "crossfit_tail", "crossfit_transfer"):
+        queries.QUERIES[name](None, "")
+        assert seen["trees"] is None and seen["fold"]["trees"] == 160 and seen["fractions"] == (0.025, 0.05, 0.1, 0.2, 0.3)
+        assert name != "crossfit_trees" or [(g["trees"], g["rate"]) for g in seen["grid"]] == [(180, 0.03)] * 2
+
+
 def test_trees_stop_at_the_best_number_of_rounds(rows):
     p = models.Preprocess(["x", "z"], ["c"]).fit(rows)
     model, n = models.stopped_early(p.transform(rows.where("order < 900")), p.transform(rows.where("order >= 900")), trees=8, patience=2, first=2, depth=2)
