@@ -108,6 +108,21 @@ def test_delta_mixtures_rank_some_trials_at_a_time(scored, monkeypatch):
     assert found[0][:2] == found[1][:2] and len(found[0][1]) == 5 and (found[0][2], found[1][2]) == (3, 1)
 
 
+def test_delta_mixtures_rank_rows_alike_once(scored, monkeypatch):
+    """Rows of few distinct scores are ranked in arrays of what is distinct, ties at a cut-off by order; row by row gives the same."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    df, labels, found = scored[0].withColumns({"score": F.round("score", 1), "second": F.round("second", 1)}), [], []
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *args, **kwargs: labels.append(path.rsplit("/", 1)[-1].split("-")[0]) or write(self, path, *args, **kwargs))
+    for sent in (10**9, 0):
+        monkeypatch.setattr(tails, "SENT", sent, raising=False)
+        weights, table = tails.delta_mixture(df, "score", ["second"], (-0.5, 0.0, 0.5, 1.0))
+        found.append((weights, sorted(map(tuple, table.select("trial", "p1", "p05", "p2", "ap").collect()))))
+    assert found[0][0] == found[1][0] and len(found[0][1]) == 4 and [x[:4] for x in found[0][1]] == [x[:4] for x in found[1][1]]
+    assert [x[4] for x in found[0][1]] == pytest.approx([x[4] for x in found[1][1]]) and labels.count("ends") == 1
+
+
 def test_delta_mixtures_equal_a_plain_grid(scored):
     df, pdf = scored
     weights, table = tails.delta_mixture(df.withColumn("third", 1 - F.col("second")), "score", ["second", "third"], (-0.5, 0.0, 1.0))
